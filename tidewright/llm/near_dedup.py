@@ -46,7 +46,8 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
     for j in range(take):
         acc = (acc ^ h[j : j + len(acc)]) * np.uint64(0x9E3779B97F4A7C15)
         acc ^= acc >> np.uint64(29)
-    return np.unique(mix64(acc))
+    acc = np.sort(mix64(acc))
+    return acc[np.concatenate([[True], acc[1:] != acc[:-1]])]
 
 
 def sketch_sets(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
