@@ -180,7 +180,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             (toxic if label else clean).update(candidates(text))
         if len(toxic) + len(clean) > 500_000:
             yield flush()
-    yield flush()
+    if toxic or clean:
+        yield flush()
 
 
 def bounded_labels(labels: DataFrame, limits: dict[int, int], column: str) -> DataFrame:
