@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import stats, text
 from tidewright.operators import evidence, raster, series, spatial
+from tidewright.plans import scoring
 from tidewright.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -122,3 +123,27 @@ def test_catalogue_row_counts(spark, name):
     assert row[0] == sums[0]
     for a, b in zip(row[1:], sums[1 : 1 + len(numeric)], strict=True):
         assert (a is None and b is None) or float(a) == pytest.approx(float(b), rel=1e-6, abs=1e-4)
+
+
+def test_harmonic_fit_recovers_a_tide(spark):
+    angle = F.col("h") * math.radians(scoring.SPEEDS[0])
+    df = spark.range(500).select(F.col("id").cast("double").alias("h")).withColumn("y", 2.0 + 3 * F.cos(angle) - F.sin(angle))
+    coef, fitted = scoring.harmonic_fit(df, "h", "y")
+    assert [round(c, 4) for c in coef[:3]] == [2.0, 3.0, -1.0]
+    assert df.select(F.max(F.abs(fitted - F.col("y")))).first()[0] < 1e-6
+
+
+def test_harmonic_fit_of_nothing(spark):
+    coef, _ = scoring.harmonic_fit(spark.createDataFrame([], "h double, y double"), "h", "y")
+    assert not coef.any()
+
+
+def test_isotonic_fit_does_not_decrease(spark):
+    rows = sorted(QUERIES["q_isotonic"](spark, SF).collect())
+    assert rows and all(a["fitted"] <= b["fitted"] for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_logistic_scores_are_whole_and_in_range(spark):
+    rows = QUERIES["q_lr_scores"](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert all(0 <= r["score"] <= 1 for r in rows)
