@@ -344,12 +344,12 @@ def q_radius_neighbours(s, d):
     return spatial.distance_join(p, p.toDF("rid", "rx", "ry"), 0.02).groupBy("id").agg((F.count(F.lit(1)) - 1).alias("n"))
 
 
-@query(f"""with p as ({_POINTS}), r as (select * from p where id % 5 = 0), m as (select a.id, b.id as rid, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as dist from p a join r b on a.id <> b.id and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.05),
+@query(f"""with p as ({_POINTS}), m as (select a.id, b.id as rid, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as dist from p a join p b on a.id <> b.id and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.05),
  k as (select *, case when id % 3 = rid % 3 then 0 when dist <= 0.02 then 1 end as r from m), best as (select id, min(struct_pack(r := r, dist := dist, rid := rid)) as m from k where r is not null group by 1)
  select p.id, m.rid as rid, case m.r when 0 then 'name+distance' when 1 then 'distance' else 'unmatched' end as match_type, round(m.dist, 6) as dist from p left join best using (id)""")
 def q_distance_match(s, d):
     p = points(s, d)
-    pairs = spatial.distance_join(p, p.filter("id % 5 = 0").toDF("rid", "rx", "ry"), 0.05, F.col("id") != F.col("rid"))
+    pairs = spatial.distance_join(p, p.toDF("rid", "rx", "ry"), 0.05, F.col("id") != F.col("rid"))
     pairs = pairs.withColumn("similarity", (F.col("id") % 3 == F.col("rid") % 3).cast("double"))
     return spatial.best_match(p, pairs, 0.55, 0.02).withColumn("dist", r6("dist"))
 
