@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import stats, text
-from tidewright.operators import evidence, raster, series, spatial
-from tidewright.plans import scoring
+from tidewright.operators import evidence, graph, raster, series, spatial
+from tidewright.plans import models, scoring  # noqa: F401  both add to the catalogue
 from tidewright.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -147,3 +147,21 @@ def test_logistic_scores_are_whole_and_in_range(spark):
     rows = QUERIES["q_lr_scores"](spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_components_of_a_chain_a_loop_and_a_lone_vertex(spark):
+    rows = [(i, i + 1) for i in range(1, 40)] + [(50, 50), (60, 61), (61, 60), (70, None), (80, 1)]
+    v = spark.createDataFrame([(i,) for i in [*range(1, 41), 50, 60, 61, 61, 70]], "id long")
+    got = {r["id"]: r["comp"] for r in graph.components(v, spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(1, 41), 1) | {50: 50, 60: 60, 61: 60, 70: 70}
+    assert graph.components(v.limit(0), v.limit(0).selectExpr("id as a", "id as b")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["q_gbt_scores", "q_pu_bagging"])
+def test_model_scores_are_whole_and_rank_the_fitted_rows(spark, name):
+    x = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = QUERIES[name](spark, SF).join(x, "vec_id").select("score", "label").collect()
+    assert len(rows) == x.count() and all(0 <= r["score"] <= 1 for r in rows)
+    wanted = (lambda y: y >= 5) if name == "q_gbt_scores" else (lambda y: y == 0)
+    pos, neg = [[r["score"] for r in rows if wanted(r["label"]) == k] for k in (True, False)]
+    assert sum(a > b for a in pos for b in neg) > 0.7 * len(pos) * len(neg)

@@ -21,3 +21,20 @@ def drained(spark: SparkSession, sf_dir: str, job, mode: str, late: str) -> Data
     started = job(source, late).writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{path}/state")
     started.trigger(availableNow=True).start(f"{path}/out").awaitTermination()
     return spark.read.parquet(f"{path}/out").filter(F.col("cell") != "\x00")
+
+
+def latest(spark: SparkSession, rows: DataFrame, job, key: str) -> DataFrame:
+    """The last row by ``key`` that ``job`` emits in update mode over ``rows``; a repeated batch overwrites its own folder."""
+    path = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/in")
+    out = job(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+    spark.createDataFrame([], out.schema).withColumn("batch", F.lit(-1).cast("long")).write.parquet(f"{path}/out/none")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/out/{number}")
+
+    started = out.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(keep)
+    started.trigger(availableNow=True).start().awaitTermination()
+    seen = spark.read.parquet(f"{path}/out/*")
+    last = F.max_by(F.struct(*[c for c in out.columns if c != key]), "batch").alias("last")
+    return seen.groupBy(key).agg(last).select(key, "last.*")
