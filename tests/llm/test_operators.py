@@ -208,6 +208,11 @@ def test_chain_is_best_against_brute_force():
         assert len(chain) * substring_dedup.K - substring_dedup.GAP_COST * (b1 - b0 + a1 - a0) == pytest.approx(best)
 
 
+def test_chain_takes_best_near_match():
+    m = [(i, i) for i in range(0, 61, 5)] + [(300, 300), (310, 310)]
+    assert [(300, 300), (310, 310)] in substring_dedup.chains(m)
+
+
 def test_lm_base_score_is_exact_and_model_learns(spark):
     rows = made(9, 80)
     held = crc_mod("doc_id", 10) == 0
