@@ -213,6 +213,25 @@ def test_chain_takes_best_near_match():
     assert [(300, 300), (310, 310)] in substring_dedup.chains(m)
 
 
+def invented(rng, n):
+    return ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+
+
+def in_texts(rng, *parts):
+    return [(i, " ".join([*invented(rng, 40), *p, *invented(rng, 40)])) for i, p in enumerate(parts, 1)]
+
+
+def test_passage_whose_parts_occur_in_smaller_documents(spark):
+    rng = random.Random(5)
+    p = invented(rng, 80)
+    rows = in_texts(rng, p[:40], p, [*p[:37], "edited", *p[38:]])
+    a, b = invented(rng, 30), invented(rng, 30)
+    rows += [(i + 10, x) for i, x in in_texts(rng, b, a, a + b, a + b)]
+    got = {(r["doc_id"], r["source_doc_id"]): r for r in substring_dedup.repeated_passages(table(spark, rows)).collect()}
+    assert (got[3, 2]["start"], got[3, 2]["end"], got[3, 2]["identity"]) == (40, 120, 79 / 80)
+    assert (got[14, 13]["start"], got[14, 13]["end"]) == (40, 100)
+
+
 def test_lm_base_score_is_exact_and_model_learns(spark):
     rows = made(9, 80)
     held = crc_mod("doc_id", 10) == 0
