@@ -232,6 +232,42 @@ def test_passage_whose_parts_occur_in_smaller_documents(spark):
     assert (got[14, 13]["start"], got[14, 13]["end"]) == (40, 100)
 
 
+def test_edited_passages(spark):
+    """Edits each eight words, three edits in 55 words, random ones down to 0.82; two edited passages in one pair."""
+    rng = random.Random(6)
+
+    def edited(p, at):
+        return [w if i not in at else "".join(rng.choices("stuvw", k=6)) for i, w in enumerate(p)]
+
+    rows, want, i = [], [], 0
+    for n, at in [(64, range(7, 64, 8)), (55, (13, 27, 41)), *[(100, rng.sample(range(1, 99), k)) for k in (5, 10, 15, 18)]]:
+        p = invented(rng, n)
+        for part in (p, edited(p, at)):
+            rows.append((i, " ".join([*invented(rng, 50), *part, *invented(rng, 50)])))
+            i += 1
+        want.append((i - 1, i - 2, n))
+    p, q = invented(rng, 100), invented(rng, 100)
+    for r, s, gap in ((p, q, 150), (edited(p, range(10, 100, 20)), edited(q, range(10, 100, 20)), 150)):
+        rows.append((i, " ".join([*r, *invented(rng, gap), *s])))
+        i += 1
+    got = substring_dedup.repeated_passages(table(spark, rows)).collect()
+    for b, a, n in want:
+        (r,) = [r for r in got if (r["doc_id"], r["source_doc_id"]) == (b, a)]
+        assert r["identity"] >= 0.8 and r["end"] - r["start"] >= max(50, 0.8 * n) and r["start"] >= 50 and r["end"] <= 50 + n
+    two = sorted((r["start"], r["end"]) for r in got if r["doc_id"] == i - 1)
+    assert two == [(0, 100), (250, 350)] and len(got) == len(want) + 2
+
+
+def test_extension_against_brute_force():
+    rng = random.Random(7)
+    for _ in range(20):
+        x = [rng.randrange(50) for _ in range(30)]
+        y = [w for w in x if rng.random() > 0.1]
+        ends, top = substring_dedup.extend(np.array(x), np.array(y))
+        score = {(i, j): 5 * substring_dedup.common_length(np.array(x[:i]), np.array(y[:j])) - 2 * (i + j) for i in range(31) for j in range(len(y) + 1)}
+        assert 5 * top[2] - 2 * (top[0] + top[1]) == max(score.values()) and top in ends
+
+
 def test_lm_base_score_is_exact_and_model_learns(spark):
     rows = made(9, 80)
     held = crc_mod("doc_id", 10) == 0
