@@ -208,6 +208,20 @@ def test_chain_is_best_against_brute_force():
         assert len(chain) * substring_dedup.K - substring_dedup.GAP_COST * (b1 - b0 + a1 - a0) == pytest.approx(best)
 
 
+def test_large_benchmark_is_scanned_in_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [" ".join(invented(rng, 20)) for _ in range(6)]
+    bench = spark.createDataFrame(list(enumerate([*items, None, "one"])), "item_id long, text string")
+    rows = [(1, f"{items[0]} {items[5]}"), (1, items[3] + " x " * 30), (2, f"{items[2]} {items[2]}"), (3, "free"), (None, items[4]), *ODD]
+
+    def found():
+        return sorted(map(str, decontaminate(table(spark, rows), bench).collect()))
+
+    want = found()
+    monkeypatch.setattr("tidewright.llm.decontam.BLOCK_BYTES", 300)
+    assert found() == want
+
+
 def test_chain_takes_best_near_match():
     m = [(i, i) for i in range(0, 61, 5)] + [(300, 300), (310, 310)]
     assert [(300, 300), (310, 310)] in substring_dedup.chains(m)

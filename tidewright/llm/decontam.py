@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, mix64, small_batches
+from .common import alnum_words, mix64, saved, small_batches
 
 WIDTH = 13
-#: Largest benchmark text in bytes that is broadcast at once; a larger benchmark is scanned in so many passes more.
+#: Benchmark text in bytes that is broadcast at once; a larger benchmark is scanned in so many passes more.
 BLOCK_BYTES = 16_000_000
 OUT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
@@ -64,7 +64,9 @@ class WindowSet:
         return out
 
 
-def _scanner(shared):
+def _scanner(shared, columns: list[str]):
+    """Adds the hits of one block of items to those that the rows carry."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         windows: WindowSet = shared.value
         get = windows.vocab.get
@@ -83,6 +85,9 @@ def _scanner(shared):
             for k, doc in enumerate(batch["doc_id"].tolist()):
                 spans: list[dict] = []
                 items: set[str] = set()
+                if "spans" in batch:
+                    items |= set(batch["items"].iloc[k])
+                    hits.setdefault(k, []).extend((x["start"], x["end"], set()) for x in batch["spans"].iloc[k])
                 for i, j, named in sorted(hits.get(k, []), key=lambda h: h[:2]):
                     items |= named
                     if spans and i <= spans[-1]["end"]:
@@ -90,29 +95,47 @@ def _scanner(shared):
                     else:
                         spans.append({"start": i, "end": j})
                 rows.append((doc, int(size[k]), sum(s["end"] - s["start"] for s in spans), sorted(items), spans))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_hit", "items", "spans"])
+            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_hit", "items", "spans"])
+            out["text"] = batch["text"].to_numpy()
+            yield out[columns]
 
     return run
 
 
+def _blocks(bench: DataFrame) -> Iterator[tuple[list[tuple[int, str | None]], bool]]:
+    """Blocks of items, each with whether another follows; one that is empty without items."""
+    block: list[tuple[int, str | None]] = []
+    size = 0
+    for item, text in bench.toLocalIterator():
+        n = len((text or "").encode("utf-8", "replace"))
+        if block and size + n > BLOCK_BYTES:
+            yield block, True
+            block, size = [], 0
+        block.append((item, text))
+        size += n
+    yield block, False
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_words, n_hit, items, spans, contaminated.
 
     ``items`` are the ids (as strings, sorted) of ``benchmark(item_id, text)`` items with a window in the text,
     ``spans`` the merged hit word ranges; contaminated when n_hit > 0 and 20 * n_hit >= n_words.  Null, empty and
     word-less texts have no words and no hits; word-less items have no windows; an empty benchmark hits nothing.
-    Rows with equal doc_id are judged one by one.  The benchmark's total size is checked: it is broadcast only up
-    to BLOCK_BYTES and refused beyond.
+    Rows with equal doc_id are judged one by one.  The benchmark is broadcast in blocks of whole items of at most
+    BLOCK_BYTES (a longer item is a block of its own); every block is one pass, and rows carry their hits along.
     """
     spark = docs.sparkSession
     small_batches(spark)
     bench = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > BLOCK_BYTES:
-        raise ValueError(f"the benchmark has {total} bytes; decontaminate in blocks of at most {BLOCK_BYTES}")
-    shared = spark.sparkContext.broadcast(WindowSet([(r[0], r[1]) for r in bench.collect()], width))
     scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = scanned.mapInPandas(_scanner(shared), OUT)
+    for block, more in _blocks(bench):
+        shared = spark.sparkContext.broadcast(WindowSet(block, width))
+        schema = f"{OUT}, text string" if more else OUT
+        scanned = scanned.mapInPandas(_scanner(shared, [c.split()[0] for c in schema.split(", ")]), schema)
+        if more:
+            scanned = saved(scanned, "scanned")
+            shared.destroy()
     return scanned.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
