@@ -302,6 +302,28 @@ def test_lm_base_score_is_exact_and_model_learns(spark):
         assert r["n_known"] == sum(w in count for w in tokens) and r["held_out"] == (i in out) and r["score"] < 0
 
 
+def test_lm_mixer_is_fitted_on_all_types(spark):
+    """Also beyond 600,000 types: the mixer takes no sample of them."""
+
+    class Types:
+        sampled = False
+
+        def filter(self, *_):
+            self.sampled = True
+            return self
+
+        def mapInPandas(self, *_):
+            return self
+
+        def collect(self):
+            return []
+
+    types = Types()
+    more = [10**9] if lm_score.mixer.__code__.co_argcount == 3 else []
+    lm_score.mixer(types, *more, None)
+    assert not types.sampled
+
+
 def test_lm_bits_are_a_distribution():
     code = lm_score.Code(np.arange(1, 257.0))
     assert sum(2.0 ** -n for n in code.size) == pytest.approx(1)

@@ -46,8 +46,6 @@ N_CTX = len(BITS)
 OFFSET = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
 BLOCK = 1 << 16
 SETS, BUCKETS = 16, 33
-#: Word types that the mixer is fitted on, at most.
-MIX_TYPES = 600_000
 HEAD = 1 << 17
 FLUSH = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -276,11 +274,9 @@ def bit_tables(types: DataFrame, code: Code, fresh: float, tasks: int) -> tuple[
     return st, sure
 
 
-def mixer(types: DataFrame, n_types: int, shared) -> tuple[np.ndarray, np.ndarray]:
-    """Mixer weights and probability map, fitted on about MIX_TYPES word types (all, where there are fewer) chosen by
-    a hash: each partition learns online, the results are averaged by evidence."""
-    share = min(1.0, MIX_TYPES / max(1, n_types))
-    types = types.filter(F.pmod(F.xxhash64("token"), F.lit(1_000_000)) < share * 1_000_000)
+def mixer(types: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
+    """Mixer weights and probability map, fitted on all word types: each partition learns online, the results are
+    averaged by evidence."""
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Tables(*shared.value, start_weights(), start_map())
@@ -376,7 +372,7 @@ def lm_score(docs: DataFrame, held_out: Column) -> DataFrame:
     code = Code.of(head)
     st, sure = bit_tables(types, code, max(FRESH, n * FRESH_SHARE), tasks)
     raw = spark.sparkContext.broadcast((code, st, sure))
-    weights, apm = mixer(types, v, raw)
+    weights, apm = mixer(types, raw)
     name = xxhash.xxh3_64_hexdigest(st.tobytes() + weights.tobytes())
     logs = {w: math.log10(c + 0.1) for w, c in head.items()}
     shared = spark.sparkContext.broadcast((name, logs, weights, apm))
