@@ -1,12 +1,19 @@
-"""Language-model scoring by online logistic context mixing.
+"""Language-model scoring by logistic context mixing over the token stream.
 
-Words are coded byte by byte (blank ends a word), bytes by the bits of a Huffman code.  Hashed contexts (gate with the
-last two bytes, last four and six bytes, word prefix, gate with word prefix) predict every bit from counts over the
-whole training corpus; a logistic mixer whose weight set is gated by the evidence combines them, learning online, and
-an adaptive probability map refines its output.  Before each word one more bit, predicted adaptively from the text so
-far, tells whether it repeats the word before.  The gate is the language whose function words lead so far in the text, so a
-probability depends on what came before only.  Counts of word types come from one distributed aggregation; the tables
-have a fixed size.
+A token is coded as bits: the most frequent words (and the end mark) have a Huffman code, any other word is an escape
+followed by its spelling, a Huffman code of bytes.  Three predictors foretell every bit of a word: the word code's own
+node, the word before, and the word before that; three more foretell the bits of a spelling (last two bytes, last four
+bytes, the word so far).  Hashed contexts keep counts of both values over the whole training corpus as a state of one
+byte.  Logistic mixers whose weights are gated by the evidence and by how strange the text was so far combine them, and
+a probability map refines their output.
+
+While a text is read, two more predictors learn from it alone: after two words that stood together before, one bit
+tells whether the word that followed then follows again, foretold by the run of such hits; and an escaped word may
+repeat one of the text's earlier escaped words.
+
+A training text is scored with its own occurrence taken out of every count that is small enough to matter, so mixers
+learn what unseen text is like and a text that occurs twice stands apart.  All sums are of whole numbers: scores do not
+depend on partitions or cores.
 
 Beside it a unigram baseline over exact token counts: the most frequent tokens are broadcast, a fixed number of
 them, and all others are joined.
@@ -18,8 +25,6 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
-from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -27,118 +32,214 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, saved, small_batches, space_words
-
-# Function words that only one language of the corpus uses.
-GATES = (
-    "the of and to is that was are from by",
-    "les des et une du dans pour pas le sur",
-    "der die das und ist von mit den dem nicht",
-    "el los y del las una lo se por su",
-)
-GATE_OF = {w.encode(): g for g, words in enumerate(GATES, 1) for w in words.split()}
-N_GATES = len(GATES) + 1
-#: Sizes of the model: log2 slots of each context's table, least share of tokens (and count) of a prefix with bits of
-#: its own.
-BITS = (20, 20, 21, 22, 22)
-FRESH_SHARE, FRESH = 5e-7, 4
-N_CTX = len(BITS)
-OFFSET = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
-BLOCK = 1 << 16
-SETS, BUCKETS = 16, 33
-HEAD = 1 << 17
-FLUSH = 400_000
-_P = np.uint64(0x9E3779B97F4A7C15)
-
-
-def gated(words: list[bytes]) -> list[tuple[int, int, int]]:
-    """(start, end, gate) runs over the words and the end mark at len(words)."""
-    seen, now, runs, start = [0] * N_GATES, 0, [], 0
-    found = list(map(GATE_OF.get, words))
-    for i, g in compress(enumerate(found), found):
-        seen[g] += 1
-        if g != now and seen[g] > seen[now]:
-            runs.append((start, i + 1, now))
-            start, now = i + 1, g
-    runs.append((start, len(words) + 1, now))
-    return runs
+from .common import saved, small_batches, space_words
+
+HEAD = 1 << 17  # tokens with a code of their own; one that occurs once has none, so the escape is as likely as new words are
+BITS = (22, 22)  # log2 slots of the word contexts
+SPELL_BITS = (18, 21, 21)  # of the spelling contexts
+PART = 1 << 16  # slots that are merged together
+FLUSH = 400_000  # token types a worker counts before it hands them on
+BLOCK_TOKENS = 300_000  # tokens of a block of texts, about
+CHUNK = 1 << 15  # tokens worked on at once
+TABLE_TOKENS = 16_000_000  # tokens that one task counts, about
+TAIL = np.uint32(1 << 31)
+SMALL = 12  # counts up to this sum are kept exactly
+LEVELS, NODE_LEVELS = 40, 10
+STRANGE = (0.05, 0.15, 0.4)
+RUNS = (1, 2, 4, 8, 16)
+TRUST = 32.0
+
+
+# States: both counts of a slot in one byte.
+
+
+def state_of(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Pairs with a sum up to SMALL have a state each, others one by the size of the sum and the odds."""
+    total = n0 + n1
+    odds = np.clip(np.log((n1 + 0.4) / (n0 + 0.4)) / 7, -1, 1)
+    large = 91 + np.digitize(total, [32, 128, 1024]) * 35 + np.rint(odds * 17).astype(np.int64) + 17
+    return np.where(total <= SMALL, total * (total + 1) // 2 + n1, large).astype(np.uint8)
+
+
+def _levels() -> np.ndarray:
+    """(out of training, state, bit) to the level of what the slot told: a training text's own bit is taken out."""
+    table = np.zeros((2, 256, 2), np.uint8)
+    level = np.zeros(256, np.uint8)
+    for total in range(SMALL + 1):
+        for n1 in range(total + 1):
+            s = total * (total + 1) // 2 + n1
+            level[s] = s if total <= 2 else 6 + round(max(-1, min(1, math.log((n1 + 0.4) / (total - n1 + 0.4)) / 3.2)) * 5.5 + 5.5)
+    for s in range(91, 231):
+        level[s] = 18 + round((s - 91) % 35 * 21 / 34)
+    table[1] = level[:, None]
+    table[0] = level[:, None]
+    for total in range(1, SMALL + 1):
+        for n1 in range(total + 1):
+            s, less = total * (total + 1) // 2 + n1, (total - 1) * total // 2
+            table[0, s] = level[less + min(n1, total - 1)], level[less + max(n1 - 1, 0)]
+    return table.reshape(-1)
+
+
+LEVEL = _levels()
+SURE = np.digitize(np.arange(LEVELS), [1, 6, 18])  # evidence of a level: none, one or two bits, some, much
+
+
+# Codes.
 
 
 class Code:
-    """A Huffman code for bytes: of each byte its path as (inner node, bit) pairs, all paths laid flat."""
+    """A Huffman code: of each symbol its path as (inner node, bit) pairs, all paths laid flat."""
 
     def __init__(self, weight: np.ndarray) -> None:
-        heap = [(float(w), b, b) for b, w in enumerate(weight)]
+        n = len(weight)
+        heap = [(int(w), i, i) for i, w in enumerate(weight)]
         heapq.heapify(heap)
-        parent: dict[int, tuple[int, int]] = {}
-        for node in range(256, 511):
+        up, side = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.uint8)
+        mass = np.ones((n - 1, 2))
+        for node in range(n, 2 * n - 1):
             (w0, _, x), (w1, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[x], parent[y] = (node, 0), (node, 1)
+            up[x] = up[y] = node
+            side[y] = 1
+            mass[node - n] = w0, w1
             heapq.heappush(heap, (w0 + w1, node, node))
-        paths = []
-        for b in range(256):
-            path, at = [], b
-            while at in parent:
-                at, bit = parent[at]
-                path.append((at - 256, bit))
-            paths.append(path[::-1])
-        self.size = np.array([len(p) for p in paths])
+        at, steps = np.arange(n), []
+        while (at < 2 * n - 2).any():
+            live = np.flatnonzero(at < 2 * n - 2)
+            steps.append((live, up[at[live]] - n, side[at[live]]))
+            at[live] = up[at[live]]
+        self.size = np.zeros(n, np.int64)
+        for live, _, _ in steps:
+            self.size[live] += 1
         self.start = np.cumsum(self.size) - self.size
-        self.node, self.bit = np.array([x for p in paths for x in p], np.int64).T.copy()
-
-    @classmethod
-    def of(cls, head: dict[bytes, int]) -> Code:
-        weight = np.ones(256)
-        for w, c in head.items():
-            np.add.at(weight, np.frombuffer(w + b" ", np.uint8), c)
-        return cls(weight)
-
-
-class Flat:
-    """The bits of many words laid flat: each bit's word, value, and slot in every context's table."""
-
-    def __init__(self, words: list[bytes], gates: np.ndarray, code: Code) -> None:
-        text = b"".join(w + b" " for w in words)
-        size = np.array([len(w) + 1 for w in words], np.int64)
-        begin = np.cumsum(size) - size
-        byte = np.frombuffer(text, np.uint8)
-        wide = byte.astype(np.uint64)
-        word = np.repeat(np.arange(len(words)), size)
-        depth = np.arange(len(text)) - begin[word]
-        gate = gates.astype(np.uint64)[word]
-        power = np.cumprod(np.full(int(size.max()), _P, np.uint64))
-        total = np.cumsum((wide + np.uint64(1)) * power[depth])
-        before = total - (wide + np.uint64(1)) * power[depth]
-        self.prefix = before - before[begin][word]
-        past, last = np.zeros(len(text), np.uint64), []
-        for back in range(1, 7):
-            shifted = np.zeros(len(text), np.uint64)
-            shifted[back:] = wide[:-back] + np.uint64(1)
-            past = past * np.uint64(263) + np.where(depth >= back, shifted, np.uint64(0))
-            if back in (2, 4, 6):
-                last.append(past)
-        keys = (
-            last[0] + (gate << np.uint64(40)),
-            last[1] + np.uint64(1 << 50),
-            last[2] + np.uint64(1 << 51),
-            self.prefix ^ np.uint64(0x5851F42D4C957F2D),
-            self.prefix + (gate + np.uint64(1)) * np.uint64(0x2545F4914F6CDD1D),
-        )
-        each = code.size[byte]
-        owner = np.repeat(np.arange(len(byte)), each)
-        ends = np.cumsum(each)
-        path = np.arange(int(ends[-1])) + np.repeat(code.start[byte] - (ends - each), each)
-        node = code.node[path]
-        self.owner, self.bit, self.word = owner, code.bit[path], word[owner]
-        first = np.cumsum(each) - each
-        self.word_start = first[begin]
-        self.slot = [
-            (OFFSET[c] + (mix64(k) >> np.uint64(64 - b + 8) << np.uint64(8)).astype(np.int64))[owner] + node
-            for c, (k, b) in enumerate(zip(keys, BITS, strict=True))
-        ]
-
-
-def _blocks(words: list[bytes], gates: np.ndarray, *more: np.ndarray, most: int = 50_000):
+        self.node, self.bit = np.zeros(int(self.size.sum()), np.uint32), np.zeros(int(self.size.sum()), np.uint8)
+        for k, (live, node, bit) in enumerate(steps):
+            self.node[self.start[live] + self.size[live] - 1 - k] = node
+            self.bit[self.start[live] + self.size[live] - 1 - k] = bit
+        self.level = np.rint(np.clip(np.log((mass[:, 1] + 0.4) / (mass[:, 0] + 0.4)) / 3, -1, 1) * 4.5 + 4.5).astype(np.uint8)
+
+    def paths(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(symbol's index, node, bit, first bit of each symbol)."""
+        n = self.size[symbols]
+        ends = np.cumsum(n)
+        owner = np.repeat(np.arange(len(symbols), dtype=np.int32), n)
+        path = np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(self.start[symbols] - (ends - n), n)
+        return owner, self.node[path], self.bit[path], ends - n
+
+
+def _mix32(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint32(16))
+    x = x * np.uint32(0x7FEB352D)
+    return x ^ (x >> np.uint32(15))
+
+
+def _slots(key: np.ndarray, owner: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    return _mix32(key[owner] + node * np.uint32(0x9E3779B1)) * np.uint32(0x846CA68B) >> np.uint32(32 - bits)
+
+
+class Texts:
+    """A block of texts as symbols: ids of head words, or TAIL and the place in the block's list of other words."""
+
+    def __init__(self, row, escape: int, training_only: bool = False) -> None:
+        self.ids = np.frombuffer(row.ids, np.uint32)
+        self.size = np.frombuffer(row.size, np.int32)
+        self.held = np.frombuffer(row.held, bool)
+        self.tail = bytes(row.tail).split(b" ") if row.tail else []
+        self.escape = escape
+        self.keep = np.arange(len(self.size))
+        if training_only:
+            self.keep = np.flatnonzero(~self.held)
+            self.ids = self.ids[np.repeat(~self.held, self.size)]
+            self.size, self.held = self.size[self.keep], self.held[self.keep]
+        n, start = len(self.ids), escape + 1
+        self.start = (np.cumsum(self.size) - self.size).astype(np.int64)
+        self.first = np.repeat(self.start, self.size)
+        self.out = np.repeat(self.held, self.size)
+        self.is_tail = self.ids >= TAIL
+        self.symbol = np.where(self.is_tail, np.uint32(escape), self.ids)
+        back = np.full((2, n), start, np.uint32)
+        near = np.full((2, n), start, np.uint32)  # the same with other words told apart
+        for k in (1, 2):
+            inside = np.flatnonzero(np.arange(n) - self.first >= k)
+            back[k - 1][inside], near[k - 1][inside] = self.symbol[inside - k], self.ids[inside - k]
+        self.key = [_mix32(back[0] * np.uint32(0x85EBCA6B) + np.uint32(1)), _mix32(back[1] * np.uint32(0xC2B2AE35) + np.uint32(77))]
+        self.near = near
+        count = np.cumsum(self.is_tail) - self.is_tail
+        since = np.arange(n) - self.first
+        share = (count - count[self.first] + 0.4) / (since + 4) if n else np.empty(0)
+        self.strange = np.digitize(share, STRANGE).astype(np.int32)
+
+    def again(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(foretold, hit, run class): the text's two last words stood together before; the word after them then is the
+        word now; how many such foretellings came true in a row up to here."""
+        n = len(self.ids)
+        pair = _pairs(self.near[1], self.near[0], self.first.astype(np.uint32))
+        key = np.sort((pair >> np.uint64(24) << np.uint64(24)) + np.arange(n, dtype=np.uint64)) if n else np.empty(0, np.uint64)
+        at = (key & np.uint64((1 << 24) - 1)).astype(np.int64)
+        same = np.flatnonzero((key[1:] ^ key[:-1]) >> np.uint64(24) == 0)
+        told, hit = np.zeros(n, bool), np.zeros(n, bool)
+        now, then = at[same + 1], at[same]
+        ok = (self.first[now] == self.first[then]) & (now - self.first[now] >= 2) & (then - self.first[then] >= 2)
+        now, then = now[ok], then[ok]
+        told[now] = True
+        hit[now] = self.ids[now] == self.ids[then]
+        miss = np.maximum.accumulate(np.where(hit, -1, np.arange(n))) if n else np.empty(0, np.int64)
+        run = np.zeros(n, np.int64)
+        run[1:] = np.arange(n - 1) - np.maximum(miss[:-1], self.first[1:] - 1)
+        run[self.start] = 0
+        return told, hit, np.digitize(run, RUNS)
+
+    def cached(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the other words' tokens: (places, is one of the text's earlier other words, how many of those differ)."""
+        at = np.flatnonzero(self.is_tail)
+        key = np.sort((_pairs(self.ids[at], self.first[at].astype(np.uint32), np.zeros(len(at), np.uint32)) >> np.uint64(24) << np.uint64(24)) + np.arange(len(at), dtype=np.uint64))
+        order = (key & np.uint64((1 << 24) - 1)).astype(np.int64)
+        seen = np.zeros(len(at), bool)
+        same = np.flatnonzero((key[1:] ^ key[:-1]) >> np.uint64(24) == 0)
+        seen[order[same + 1]] = True
+        fresh = np.cumsum(~seen) - ~seen
+        first = np.searchsorted(at, self.first[at]) if len(at) else at
+        return at, seen, fresh - (fresh[first] if len(at) else 0)
+
+    def chunks(self) -> Iterator[tuple[int, int]]:
+        for i in range(0, len(self.ids), CHUNK):
+            yield i, min(i + CHUNK, len(self.ids))
+
+    def bits(self, code: Code, i: int, j: int):
+        """(owner, node, bit, first bits, slots of both contexts) of the tokens i to j."""
+        owner, node, bit, first = code.paths(self.symbol[i:j])
+        return owner, node, bit, first, [_slots(k[i:j], owner, node, b) for k, b in zip(self.key, BITS, strict=True)]
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    h = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + y.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + z.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def spelled(words: list[bytes], code: Code):
+    """(owner, bit, first bits, slots of the three contexts) of the words' bytes, each word ended by a blank."""
+    text = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    size = np.array([len(w) + 1 for w in words], np.int64)
+    begin = np.repeat(np.cumsum(size) - size, size)
+    depth = np.arange(len(text)) - begin
+    wide, past, keys = text.astype(np.uint32) + np.uint32(1), np.zeros(len(text), np.uint32), []
+    for back in range(1, 5):
+        shifted = np.zeros(len(text), np.uint32)
+        shifted[back:] = wide[:-back]
+        past = past * np.uint32(263) + np.where(depth >= back, shifted, np.uint32(0))
+        if back in (2, 4):
+            keys.append(_mix32(past + np.uint32(back)))
+    power = np.cumprod(np.full(int(size.max()), 0x01000193, np.uint32), dtype=np.uint32)
+    total = np.cumsum(wide * power[depth], dtype=np.uint32) - wide * power[depth]
+    keys.append(_mix32(total - total[begin] + depth.astype(np.uint32) * np.uint32(0x27D4EB2F)))
+    owner, node, bit, first = code.paths(text)
+    starts = np.cumsum(size) - size
+    word = np.repeat(np.arange(len(words)), size)
+    return word[owner], bit, first[starts], [_slots(k, owner, node, b) for k, b in zip(keys, SPELL_BITS, strict=True)]
+
+
+def _some(words: list[bytes], *more: np.ndarray, most: int = 50_000):
     """Cut word lists so that a block has about ``most`` bytes."""
     i = 0
     while i < len(words):
@@ -146,205 +247,329 @@ def _blocks(words: list[bytes], gates: np.ndarray, *more: np.ndarray, most: int
         while j < len(words) and (n < most or j == i):
             n += len(words[j]) + 1
             j += 1
-        yield (words[i:j], gates[i:j], *[m[i:j] for m in more])
+        yield (words[i:j], *[m[i:j] for m in more])
         i = j
 
 
-class Tables:
-    """Stretched bit probabilities and evidence classes of all slots, mixer weights and the probability map."""
+# Mixing.
+
+
+def mixture(seen: np.ndarray, gates: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of both bits in every cell, from the cells' counts of both bits.
+
+    A predictor's input is the log odds that its level had; every gate has weights of its own, learned by online
+    gradient steps over the cells in a fixed order; the cell's own counts refine the mixture.
+    """
+    total = seen.sum(1)
+    inputs = []
+    for level in levels:
+        n = np.stack([np.bincount(level, seen[:, b], int(level.max()) + 1) for b in (0, 1)])
+        inputs.append(np.log((n[1] + 0.4) / (n[0] + 0.4))[level])
+    x = np.stack([*inputs, np.full(len(seen), 0.3)])
+    weights = np.full((len(x), int(gates.max()) + 1), 0.5)
+    weights[-1] = 0.0
+    live = np.flatnonzero(total)
+    live = live[np.argsort(_mix32(live.astype(np.uint32)), kind="stable")]
+    speed = np.full(weights.shape, 1e-3)
+    for step in range(40):
+        for some in np.array_split(live, 16):
+            g = gates[some]
+            p = 1 / (1 + np.exp(-np.clip((weights[:, g] * x[:, some]).sum(0), -14, 14)))
+            error = seen[some, 1] - total[some] * p
+            mass = np.bincount(g, total[some], weights.shape[1]) + 1e-9
+            move = np.stack([np.bincount(g, error * row, weights.shape[1]) for row in x[:, some]]) / mass
+            speed += move * move
+            weights += 0.3 / (1 + 0.1 * step) * move / np.sqrt(speed)
+    p = 1 / (1 + np.exp(-np.clip((weights[:, gates] * x).sum(0), -11, 11)))
+    p = np.clip((seen[:, 1] + TRUST * p) / (total + TRUST), 1e-5, 1 - 1e-5)
+    return np.log10(np.stack([1 - p, p], 1)).astype(np.float32).reshape(-1)
+
+
+def word_mixture(seen: np.ndarray) -> np.ndarray:
+    cell = np.arange(len(seen))
+    one, two = cell // LEVELS % LEVELS, cell % LEVELS
+    node, strange = cell // LEVELS**2 % NODE_LEVELS, cell // (LEVELS**2 * NODE_LEVELS)
+    return mixture(seen, (strange * 4 + SURE[one]) * 4 + SURE[two], [node, one, two])
+
 
-    def __init__(self, code: Code, st: np.ndarray, sure: np.ndarray, weights: np.ndarray, apm: np.ndarray) -> None:
-        self.code, self.st, self.sure, self.weights, self.apm = code, st, sure, weights, apm
+def spell_mixture(seen: np.ndarray) -> np.ndarray:
+    cell = np.arange(len(seen))
+    a, b, c = cell // LEVELS**2, cell // LEVELS % LEVELS, cell % LEVELS
+    return mixture(seen, (SURE[a] * 4 + SURE[b]) * 4 + SURE[c], [a, b, c])
 
-    def mix(self, flat: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For every bit: weight set (by the evidence of both word prefixes), inputs with a bias, dot product."""
-        x = np.empty((N_CTX + 1, len(flat.bit)), np.float32)
-        for c in range(N_CTX):
-            x[c] = self.st[flat.slot[c]]
-        x[N_CTX] = 0.3
-        pick = self.sure[flat.slot[3]].astype(np.int64) * 4 + self.sure[flat.slot[4]]
-        return pick, x, np.einsum("cn,cn->n", x, self.weights[:, pick])
 
-    def refined(self, pick: np.ndarray, dot: np.ndarray) -> np.ndarray:
-        at = np.clip(dot, -7.99, 7.99) * 2 + 16
-        low = at.astype(np.int64)
-        part = at - low
-        p = self.apm[pick, low] * (1 - part) + self.apm[pick, low + 1] * part
-        mixed = 1 / (1 + np.exp(-np.clip(dot, -12, 12)))
-        return np.clip(0.5 * (p + mixed), 1e-5, 1 - 1e-5)
+WORD_CELLS, SPELL_CELLS = 4 * NODE_LEVELS * LEVELS**2, LEVELS**3
 
-    def log10(self, words: list[bytes], gates: np.ndarray) -> np.ndarray:
-        out = []
-        for some, g in _blocks(words, gates):
-            flat = Flat(some, g, self.code)
-            pick, _, dot = self.mix(flat)
-            p = self.refined(pick, dot)
-            out.append(np.add.reduceat(np.log10(np.where(flat.bit == 1, p, 1 - p)), flat.word_start))
-        return np.concatenate(out) if out else np.empty(0)
 
+def word_cells(texts: Texts, code: Code, tables: list[np.ndarray], i: int, j: int):
+    owner, node, bit, first, slots = texts.bits(code, i, j)
+    at = texts.out[i:j][owner].astype(np.int32) * 512 + bit
+    one, two = (LEVEL[at + t[s].astype(np.int32) * 2] for t, s in zip(tables, slots, strict=True))
+    cell = ((texts.strange[i:j][owner] * NODE_LEVELS + code.level[node]) * LEVELS + one) * LEVELS + two
+    return cell * 2 + bit, first
 
-def start_weights() -> np.ndarray:
-    """By set, trust goes to the longest context with evidence."""
-    w = np.full((N_CTX + 1, 4, 4), 0.1, np.float32)
-    w[N_CTX] = 0
-    for k in range(4):
-        for g in range(4):
-            w[4 if g else 3 if k else 2, k, g] = 0.7
-    return w.reshape(N_CTX + 1, SETS)
 
+def spell_cells(words: list[bytes], out: np.ndarray, code: Code, tables: list[np.ndarray]):
+    owner, bit, first, slots = spelled(words, code)
+    at = out[owner].astype(np.int32) * 512 + bit
+    a, b, c = (LEVEL[at + t[s].astype(np.int32) * 2] for t, s in zip(tables, slots, strict=True))
+    return ((a.astype(np.int32) * LEVELS + b) * LEVELS + c) * 2 + bit, owner, first
 
-def start_map() -> np.ndarray:
-    at = (np.arange(BUCKETS + 1) - 16) / 2
-    return np.tile(1 / (1 + np.exp(-at)), (SETS, 1))
+
+# Distributed passes.
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """(gate, token, n) over ``docs(text)``; the end mark is the empty token."""
+    """(token, c) over ``docs(text)``; the end mark is the empty token."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        each = [Counter() for _ in range(N_GATES)]
+        count: Counter = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                count.update(space_words(text))
+            count[b""] += len(batch)
+            if len(count) > FLUSH:
+                yield pd.DataFrame({"token": list(count), "n": list(count.values())})
+                count.clear()
+        if count:
+            yield pd.DataFrame({"token": list(count), "n": list(count.values())})
+
+    parts = docs.select("text").mapInPandas(run, "token binary, n long")
+    return parts.groupBy("token").agg(F.sum("n").alias("c"))
 
-        def flush() -> pd.DataFrame:
-            rows = [(g, k, n) for g, c in enumerate(each) for k, n in c.items()]
-            for c in each:
-                c.clear()
-            return pd.DataFrame(rows, columns=["gate", "token", "n"])
+
+class _Ids(dict):
+    """Head words to ids; another word gets the next place of the block's list."""
+
+    tail: list[bytes]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self.tail) | int(TAIL)
+        self.tail.append(word)
+        return found
+
+
+def _encoded(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = _Ids(shared.value)
+        end = ids[b""]
+        ids.tail = []
+        docs, held, size, length, found, n = [], [], [], [], [], 0
+
+        def row() -> pd.DataFrame:
+            out = pd.DataFrame(
+                {
+                    "doc": [np.array([0 if d is None else d for d in docs], np.int64).tobytes()],
+                    "null": [np.array([d is None for d in docs]).tobytes()],
+                    "held": [np.array(held, bool).tobytes()],
+                    "size": [np.array(size, np.int32).tobytes()],
+                    "length": [np.array(length, np.int64).tobytes()],
+                    "ids": [b"".join(found)],
+                    "tail": [b" ".join(ids.tail)],
+                    "tokens": [n],
+                }
+            )
+            for w in ids.tail:
+                del ids[w]
+            ids.tail = []
+            docs.clear(), held.clear(), size.clear(), length.clear(), found.clear()
+            return out
 
         for batch in batches:
-            for text in batch["text"]:
+            for doc, out, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["held_out"], batch["text"], strict=True):
                 words = space_words(text)
-                for i, j, g in gated(words):
-                    each[g].update(words[i:j])
-                each[g][b""] += 1
-            if sum(map(len, each)) > FLUSH:
-                yield flush()
-        if any(each):
-            yield flush()
+                words.append(b"")
+                found.append(np.fromiter(map(ids.__getitem__, words), np.uint32, len(words)).tobytes())
+                docs.append(doc), held.append(out), size.append(len(words)), length.append(sum(map(len, words)) + len(words))
+                n += len(words)
+                if n >= BLOCK_TOKENS:
+                    yield row()
+                    n = 0
+        if docs:
+            yield row()
+        assert ids[b""] == end
 
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "gate int, token binary, n long")
-    return parts.groupBy("gate", "token").agg(F.sum("n").alias("n"))
+    return run
 
 
-def _code(n: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(1 + n) * 2048, 65535).astype(np.uint16)
+BLOCK = "doc binary, null binary, held binary, size binary, length binary, ids binary, tail binary, tokens long"
 
 
-def _decode(n: np.ndarray) -> np.ndarray:
-    return np.exp2(n.astype(np.float64) / 2048) - 1
+def _packed(counts: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest type that holds them."""
+    kind = next(k for k in "BHIQ" if counts.max(initial=0) <= np.iinfo(k).max)
+    return kind.encode() + counts.astype(kind).tobytes()
 
 
-def bit_tables(types: DataFrame, code: Code, fresh: float, tasks: int) -> tuple[np.ndarray, np.ndarray]:
-    """(stretched probability, evidence class 0..3) of every slot, from (gate, token, n)."""
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x[1:], x[:1].decode()).astype(np.int64)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros((int(OFFSET[-1]), 2), np.float32)
-        flat_n = n.reshape(-1)
-        seen = np.zeros(1 << 22, np.float32)
-        some = False
-        for batch in batches:
-            gates, weight = batch["gate"].to_numpy(np.int64), batch["n"].to_numpy(np.float32)
-            for words, g, w in _blocks(batch["token"].tolist(), gates, weight):
-                some = True
-                flat = Flat(words, g, code)
-                each = w[flat.word]
-                at = (mix64(flat.prefix) >> np.uint64(42)).astype(np.int64)
-                np.add.at(seen, at, w[np.repeat(np.arange(len(words)), [len(x) + 1 for x in words])])
-                often = np.flatnonzero((seen[at] >= fresh / tasks)[flat.owner])
-                for c in range(N_CTX):
-                    cell = flat.slot[c] * 2 + flat.bit
-                    np.add.at(flat_n, cell if c < 3 else cell[often], each if c < 3 else each[often])
-        if some:
-            for block in range(0, len(n), BLOCK):
-                part = n[block : block + BLOCK]
-                if part.any():
-                    yield pd.DataFrame({"block": [block], "n0": [_code(part[:, 0]).tobytes()], "n1": [_code(part[:, 1]).tobytes()]})
+
+def _table_rows(tables: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+    for c, table in enumerate(tables):
+        for at in range(0, len(table), 2 * PART):
+            part = table[at : at + 2 * PART]
+            if part.any():
+                yield pd.DataFrame({"context": [c], "part": [at // (2 * PART)], "counts": [_packed(part)]})
+
+
+def _collected(parts: DataFrame, bits: tuple[int, ...]) -> list[np.ndarray]:
+    """The states of all slots: partial counts are summed part by part; a slot is one byte, their number fixed."""
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        n0, n1 = (sum(_decode(np.frombuffer(x, np.uint16)) for x in rows[c]) for c in ("n0", "n1"))
-        st = np.clip(np.log((n1 + 0.02) / (n0 + 0.02)), -12, 12).astype(np.float16)
-        sure = np.digitize(n0 + n1, [fresh, 20 * fresh, 400 * fresh]).astype(np.uint8)
-        return pd.DataFrame({"block": [rows["block"].iloc[0]], "st": [st.tobytes()], "sure": [sure.tobytes()]})
-
-    parts = types.coalesce(tasks).mapInPandas(count, "block long, n0 binary, n1 binary")
-    merged = parts.groupBy("block").applyInPandas(merge, "block long, st binary, sure binary").collect()
-    st, sure = np.zeros(int(OFFSET[-1]), np.float16), np.zeros(int(OFFSET[-1]), np.uint8)
-    for r in merged:
-        st[r["block"] : r["block"] + BLOCK] = np.frombuffer(r["st"], np.float16)
-        sure[r["block"] : r["block"] + BLOCK] = np.frombuffer(r["sure"], np.uint8)
-    return st, sure
-
-
-def mixer(types: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
-    """Mixer weights and probability map, fitted on all word types: each partition learns online, the results are
-    averaged by evidence."""
-
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Tables(*shared.value, start_weights(), start_map())
-        speed = np.full(model.weights.shape, 1e-3)
-        hits, mass = np.zeros((SETS, BUCKETS)), np.zeros(SETS)
-        outcome = np.zeros((SETS, BUCKETS))
+        n = sum(map(_unpacked, rows["counts"])).reshape(-1, 2)
+        return pd.DataFrame({"context": rows["context"].iloc[:1], "part": rows["part"].iloc[:1], "states": [state_of(n[:, 0], n[:, 1]).tobytes()]})
+
+    tables = [np.zeros(1 << b, np.uint8) for b in bits]
+    for r in parts.groupBy("context", "part").applyInPandas(merge, "context int, part int, states binary").collect():
+        states = np.frombuffer(r["states"], np.uint8)
+        tables[r["context"]][r["part"] * PART : r["part"] * PART + len(states)] = states
+    return tables
+
+
+def word_tables(blocks: DataFrame, shared, tasks: int) -> list[np.ndarray]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code, escape = shared.value
+        tables = [np.zeros(2 << b, np.uint32) for b in BITS]
+        for batch in batches:
+            for row in batch.itertuples():
+                texts = Texts(row, escape, training_only=True)
+                for i, j in texts.chunks():
+                    _, _, bit, _, slots = texts.bits(code, i, j)
+                    for t, s in zip(tables, slots, strict=True):
+                        np.add.at(t, s.astype(np.int64) * 2 + bit, np.uint32(1))
+        yield from _table_rows(tables)
+
+    parts = blocks.select("held", "size", "ids", F.lit(None).cast("binary").alias("tail")).coalesce(tasks)
+    return _collected(parts.mapInPandas(run, "context int, part int, counts binary"), BITS)
+
+
+def spell_tables(rare: DataFrame, shared, tasks: int) -> list[np.ndarray]:
+    """``rare(token, c)``: the words without a code."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = [np.zeros(2 << b, np.uint64) for b in SPELL_BITS]
         for batch in batches:
-            gates, weight = batch["gate"].to_numpy(np.int64), batch["n"].to_numpy(np.float64)
-            for words, g, w in _blocks(batch["token"].tolist(), gates, weight, most=5_000):
-                flat = Flat(words, g, model.code)
-                each = w[flat.word]
-                pick, x, dot = model.mix(flat)
-                error = each * (flat.bit - 1 / (1 + np.exp(-np.clip(dot, -12, 12))))
-                norm = np.bincount(pick, each, SETS)
-                move = np.stack([np.bincount(pick, error * x[c], SETS) for c in range(N_CTX + 1)]) / (norm + 1e-9)
-                speed += move * move
-                model.weights += (0.03 * move / np.sqrt(speed)).astype(np.float32)
-                at = pick * BUCKETS + np.rint(np.clip(dot, -8, 8) * 2 + 16).astype(np.int64)
-                hits += np.bincount(at, each, SETS * BUCKETS).reshape(SETS, BUCKETS)
-                outcome += np.bincount(at, each * flat.bit, SETS * BUCKETS).reshape(SETS, BUCKETS)
-                mass += norm
-        yield pd.DataFrame({"weights": [model.weights.astype(np.float64).tobytes()], "mass": [mass.tobytes()], "hits": [hits.tobytes()], "outcome": [outcome.tobytes()]})
-
-    rows = types.mapInPandas(learn, "weights binary, mass binary, hits binary, outcome binary").collect()
-    w, m = np.zeros((N_CTX + 1, SETS)), np.full(SETS, 1e-9)
-    hits, outcome = np.zeros((SETS, BUCKETS)), np.zeros((SETS, BUCKETS))
-    for r in rows:
-        mass = np.frombuffer(r["mass"])
-        w += np.frombuffer(r["weights"]).reshape(w.shape) * mass
-        m += mass
-        hits += np.frombuffer(r["hits"]).reshape(hits.shape)
-        outcome += np.frombuffer(r["outcome"]).reshape(hits.shape)
-    weights = np.where(m > 1e-6, w / m, start_weights()).astype(np.float32)
-    prior = start_map()
-    apm = prior.copy()
-    apm[:, :BUCKETS] = (outcome + 20 * prior[:, :BUCKETS]) / (hits + 20)
-    apm[:, BUCKETS] = apm[:, BUCKETS - 1]
-    return weights, apm
-
-
-_cache: dict = {"model": None, "scores": [{} for _ in range(N_GATES)]}
-
-
-def _scores_of(key: str, head: dict[bytes, float]) -> list[dict[bytes, float]]:
-    """Scores by gate that this worker knows; of too many, those of frequent words stay."""
-    if _cache["model"] != key:
-        _cache["model"], _cache["scores"] = key, [{} for _ in range(N_GATES)]
-    elif sum(map(len, _cache["scores"])) > 800_000:
-        _cache["scores"] = [{w: x for w, x in c.items() if w in head} for c in _cache["scores"]]
-    return _cache["scores"]
-
-
-_NONE = np.cumsum(np.concatenate([[0.0], np.log10(1 - 0.02 / (1 + np.arange(1, 1 << 15)))]))
-
-
-def text_score(words: list[bytes], runs: list[tuple[int, int, int]], scores: list[dict[bytes, float]]) -> float:
-    """log10 probability of a text; the bit before word t is 1 with (0.02 + repeats so far) / (1 + t)."""
-    n = len(words)
-    again = np.zeros(n, bool)
-    if n > 1:
-        again[1:] = np.fromiter(map(eq, words, words[1:]), bool, n - 1)
-    end = scores[runs[-1][2]][b""]
-    if n <= len(_NONE) and not again.any():
-        return end + sum(sum(map(scores[g].__getitem__, words[i:j])) for i, j, g in runs) + float(_NONE[max(n - 1, 0)])
-    each = np.array([x for i, j, g in runs for x in map(scores[g].__getitem__, words[i:j])])
-    p = (0.02 + np.concatenate([[0], np.cumsum(again)[:-1]])) / (1 + np.arange(n))
-    p[0] = 0.0
-    return end + float(np.log10(np.where(again, p, 0) + (1 - p) * 10.0 ** np.maximum(each, -300)).sum())
+            for words, c in _some(batch["token"].tolist(), batch["c"].to_numpy(np.uint64)):
+                owner, bit, _, slots = spelled(words, shared.value)
+                for t, s in zip(tables, slots, strict=True):
+                    np.add.at(t, s.astype(np.int64) * 2 + bit, c[owner])
+        yield from _table_rows(tables)
+
+    return _collected(rare.coalesce(tasks).mapInPandas(run, "context int, part int, counts binary"), SPELL_BITS)
+
+
+def _summed(parts: DataFrame, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    for r in parts.toLocalIterator():
+        out += _unpacked(r["n"])
+    return out
+
+
+def spell_seen(rare: DataFrame, shared, tasks: int) -> np.ndarray:
+    """Counts of both bits by cell over the words without a code, each as if one of its tokens were new."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code, tables = shared.value
+        seen = np.zeros(SPELL_CELLS * 2, np.int64)
+        for batch in batches:
+            for words, c in _some(batch["token"].tolist(), batch["c"].to_numpy(np.float64)):
+                cell, owner, _ = spell_cells(words, np.zeros(len(words), bool), code, tables)
+                seen += np.bincount(cell, c[owner], len(seen)).astype(np.int64)
+        yield pd.DataFrame({"n": [_packed(seen)]})
+
+    return _summed(rare.coalesce(tasks).mapInPandas(run, "n binary"), SPELL_CELLS * 2).reshape(-1, 2)
+
+
+def word_seen(blocks: DataFrame, shared, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of both bits by cell over the training texts; tries and hits of words foretold, by run."""
+    more = (len(RUNS) + 1) * 2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code, escape, tables = shared.value
+        seen = np.zeros(WORD_CELLS * 2 + more, np.int64)
+        for batch in batches:
+            for row in batch.itertuples():
+                texts = Texts(row, escape, training_only=True)
+                told, hit, run = texts.again()
+                seen[WORD_CELLS * 2 :] += np.bincount(run[told] * 2 + hit[told], minlength=more)
+                for i, j in texts.chunks():
+                    cell, _ = word_cells(texts, code, tables, i, j)
+                    seen[: WORD_CELLS * 2] += np.bincount(cell, minlength=WORD_CELLS * 2)
+        yield pd.DataFrame({"n": [_packed(seen)]})
+
+    parts = blocks.select("held", "size", "ids", F.lit(None).cast("binary").alias("tail")).coalesce(tasks)
+    n = _summed(parts.mapInPandas(run, "n binary"), WORD_CELLS * 2 + more)
+    return n[: WORD_CELLS * 2].reshape(-1, 2), n[WORD_CELLS * 2 :].reshape(-1, 2)
+
+
+class Model:
+    """Everything that tells a probability: codes, states, mixtures, hits by run."""
+
+    def __init__(self, code, escape, tables, mix, spell_code, spells, spell_mix, runs) -> None:
+        self.code, self.escape, self.tables, self.mix = code, escape, tables, mix
+        self.spell_code, self.spells, self.spell_mix = spell_code, spells, spell_mix
+        p = (runs[:, 1] + 0.5) / (runs.sum(1) + 1)
+        self.run = np.log10(np.stack([1 - p, p]))
+
+    def spelling(self, words: list[bytes], out: bool) -> np.ndarray:
+        """log10 probability of words' spellings, for texts out of training or in it."""
+        each = []
+        for (some,) in _some(words):
+            cell, _, first = spell_cells(some, np.full(len(some), out), self.spell_code, self.spells)
+            each.append(np.add.reduceat(self.spell_mix[cell].astype(np.float64), first))
+        return np.concatenate(each) if each else np.empty(0)
+
+    def tokens(self, texts: Texts) -> np.ndarray:
+        """log10 probability of every token."""
+        score = np.empty(len(texts.ids))
+        for i, j in texts.chunks():
+            cell, first = word_cells(texts, self.code, self.tables, i, j)
+            score[i:j] = np.add.reduceat(self.mix[cell].astype(np.float64), first)
+        at, seen, fresh = texts.cached()
+        if len(at):
+            first = np.searchsorted(at, texts.first[at])
+            tries = np.arange(len(at)) - first
+            hits = np.cumsum(seen) - seen
+            p = (0.5 + hits - hits[first]) / (1 + tries)
+            p[tries == 0] = 0.0
+            place = (texts.ids[at] ^ TAIL).astype(np.int64)
+            plain = np.stack([self.spelling(texts.tail, False), self.spelling(texts.tail, True)])
+            score[at] += np.where(seen, np.log10(np.where(seen, p, 1) / np.maximum(fresh, 1)), np.log10(np.where(seen, 1, 1 - p)) + plain[texts.out[at].astype(int), place])
+        told, hit, run = texts.again()
+        score[told] = np.where(hit[told], 0, score[told]) + self.run[hit[told].astype(int), run[told]]
+        return score
+
+
+def learned(docs: DataFrame):
+    """(blocks of coded texts, counts of words without a code, coded words, their counts, tokens, token types, model) from
+    ``docs(doc_id, text, held_out)``."""
+    share = docs.sparkSession.sparkContext.broadcast
+    counts = saved(token_counts(docs.filter(~F.col("held_out"))), "counts")
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    head = {bytes(r[0]): r[1] for r in counts.filter("c > 1").orderBy(F.desc("c"), "token").limit(HEAD).collect()}
+    words = sorted({b"", *head}, key=lambda w: (-head.get(w, 0), w))
+    known = share({w: i for i, w in enumerate(words)})
+    escape = len(words)
+    code = Code(np.array([*(max(1, head.get(w, 0)) for w in words), max(1, n - sum(head.values()))]))
+    letters = np.ones(256, np.int64)
+    for w, c in head.items():
+        np.add.at(letters, np.frombuffer(w + b" ", np.uint8), c)
+    spell_code = Code(letters)
+
+    blocks = saved(docs.mapInPandas(_encoded(known), BLOCK), "blocks")
+    tasks = 1 + n // TABLE_TOKENS
+    tables = word_tables(blocks, share((code, escape)), tasks)
+
+    def rare_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[w not in known.value for w in batch["token"]]]
+
+    rare = saved(counts.mapInPandas(rare_only, "token binary, c long"), "rare")
+    spells = spell_tables(rare, share(spell_code), tasks)
+    spell_mix = spell_mixture(spell_seen(rare, share((spell_code, spells)), tasks))
+    cells, runs = word_seen(blocks, share((code, escape, tables)), tasks)
+    return blocks, rare, words, head, n, v, Model(code, escape, tables, word_mixture(cells), spell_code, spells, spell_mix, runs)
 
 
 def lm_score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -354,8 +579,8 @@ def lm_score(docs: DataFrame, held_out: Column) -> DataFrame:
     Learns from the rows where ``held_out`` is not true.  Tokens are the lower-cased words and one end mark; a null
     text counts as empty and has the end mark only.  base_score is the additively smoothed unigram log10
     probability, score the mixing model's; bits_per_byte counts a byte more than a word has for the blank that ends
-    it.  No training rows give untrained tables.  Other columns are ignored; rows with equal doc_id are scored one
-    by one.
+    it.  No training rows give untrained tables.  Other columns are ignored; rows with equal doc_id, or none, are
+    scored one by one.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -364,57 +589,48 @@ def lm_score(docs: DataFrame, held_out: Column) -> DataFrame:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
     )
-    types = saved(token_counts(docs.filter(~F.col("held_out"))), "types")
-    counts = saved(types.groupBy("token").agg(F.sum("n").alias("c")), "counts")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = {bytes(r[0]): r[1] for r in counts.orderBy(F.desc("c"), "token").limit(HEAD).collect()}
-    tasks = max(1, spark.sparkContext.defaultParallelism)
-    code = Code.of(head)
-    st, sure = bit_tables(types, code, max(FRESH, n * FRESH_SHARE), tasks)
-    raw = spark.sparkContext.broadcast((code, st, sure))
-    weights, apm = mixer(types, raw)
-    name = xxhash.xxh3_64_hexdigest(st.tobytes() + weights.tobytes())
-    logs = {w: math.log10(c + 0.1) for w, c in head.items()}
-    shared = spark.sparkContext.broadcast((name, logs, weights, apm))
+    blocks, rare, words, head, n, v, model = learned(docs)
+    share = spark.sparkContext.broadcast
+    shared = share(model)
+    logs = share(np.array([math.log10(head.get(w, 0) + 0.1) for w in words] + [0.0]))
+    in_head = share(np.array([w in head for w in words] + [False]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, logs, weights, apm = shared.value
-        model = Tables(*raw.value, weights, apm)
+        model = shared.value
         for batch in batches:
-            scores = _scores_of(name, logs)
-            texts = [(w := space_words(t), gated(w)) for t in batch["text"]]
-            fresh: list[set[bytes]] = [{b""} for _ in range(N_GATES)]
-            for w, runs in texts:
-                for i, j, g in runs:
-                    fresh[g].update(w[i:j])
-            for g, words in enumerate(fresh):
-                new = list(words.difference(scores[g]))
-                if new:
-                    scores[g].update(zip(new, model.log10(new, np.full(len(new), g)).tolist(), strict=True))
-            rows = []
-            end = logs.get(b"", None)
-            for doc, out, (w, runs) in zip(batch["doc_id"], batch["held_out"], texts, strict=True):
-                score = text_score(w, runs, scores)
-                found = [logs.get(x) for x in w]
-                rest = [x for x, f in zip(w, found, strict=True) if f is None]
-                known = len(w) - len(rest) + (end is not None)
-                base = sum(f for f in found if f is not None) + (end if end is not None else -1.0)
-                size = sum(map(len, w)) + len(w) + 1
-                tail = np.array([xxhash.xxh64_intdigest(x, 42) for x in rest], np.uint64).view(np.int64)
-                rows.append((doc, out, len(w) + 1, known, base, score, -score / math.log10(2) / size, tail))
-            yield pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "bits_per_byte", "tail"])
+            for row in batch.itertuples():
+                texts = Texts(row, model.escape)
+                sums = lambda x: np.add.reduceat(x, texts.start)
+                score = sums(model.tokens(texts))
+                hashed = np.array([xxhash.xxh64_intdigest(w, 42) for w in texts.tail], np.uint64).view(np.int64)
+                ends = np.concatenate([[0], np.cumsum(sums(texts.is_tail.astype(np.int64)))])
+                tail = hashed[(texts.ids[texts.is_tail] ^ TAIL).astype(np.int64)]
+                doc = pd.array(np.frombuffer(row.doc, np.int64), "Int64")
+                doc[np.frombuffer(row.null, bool)] = pd.NA
+                yield pd.DataFrame(
+                    {
+                        "doc_id": doc,
+                        "held_out": texts.held,
+                        "n_tokens": texts.size.astype(np.int64),
+                        "head_known": sums(in_head.value[texts.symbol].astype(np.int64)),
+                        "head_base": sums(logs.value[texts.symbol]),
+                        "score": score,
+                        "bits_per_byte": -score / math.log10(2) / np.frombuffer(row.length, np.int64),
+                        "tail": [tail[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)],
+                    }
+                )
 
     schema = "doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, score double, bits_per_byte double, tail array<long>"
-    part = saved(docs.mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
+    part = saved(blocks.mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
     tail = part.select("row", F.explode("tail").alias("key"))
-    other = counts.select(F.xxhash64("token").alias("key"), "c")
-    rare = (
+    other = rare.select(F.xxhash64("token").alias("key"), "c")
+    found = (
         tail.join(other, "key", "left")
         .groupBy("row")
         .agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("rare_base"), F.count("c").alias("rare_known"))
     )
     norm = math.log10(n + 0.1 * (v + 1))
-    return part.drop("tail").join(rare, "row", "left").select(
+    return part.drop("tail").join(found, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
