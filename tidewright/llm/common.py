@@ -37,12 +37,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+BATCH_BYTES = 16 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of long texts bounded; only ever lowers the session's setting."""
+    """Keep Arrow batches of long texts bounded; only ever lowers the session's settings."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**63 - 1)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

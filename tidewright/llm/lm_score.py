@@ -39,8 +39,8 @@ BITS = (22, 22)  # log2 slots of the word contexts
 SPELL_BITS = (18, 21, 21)  # of the spelling contexts
 PART = 1 << 16  # slots that are merged together
 FLUSH = 400_000  # token types a worker counts before it hands them on
-BLOCK_TOKENS = 300_000  # tokens of a block of texts, about
-CHUNK = 1 << 15  # tokens worked on at once
+BLOCK_TOKENS = 150_000  # tokens of a block of texts, about
+CHUNK = 1 << 14  # tokens worked on at once
 TABLE_TOKENS = 16_000_000  # tokens that one task counts, about
 TAIL = np.uint32(1 << 31)
 SMALL = 12  # counts up to this sum are kept exactly
@@ -534,20 +534,36 @@ class Model:
             p = (0.5 + hits - hits[first]) / (1 + tries)
             p[tries == 0] = 0.0
             place = (texts.ids[at] ^ TAIL).astype(np.int64)
-            plain = np.stack([self.spelling(texts.tail, False), self.spelling(texts.tail, True)])
-            score[at] += np.where(seen, np.log10(np.where(seen, p, 1) / np.maximum(fresh, 1)), np.log10(np.where(seen, 1, 1 - p)) + plain[texts.out[at].astype(int), place])
+            plain = np.zeros(len(at))
+            for out in (False, True):
+                new = np.flatnonzero(~seen & (texts.out[at] == out))
+                need, which = np.unique(place[new], return_inverse=True)
+                plain[new] = self.spelling([texts.tail[k] for k in need.tolist()], out)[which]
+            score[at] += np.where(seen, np.log10(np.where(seen, p, 1) / np.maximum(fresh, 1)), np.log10(np.where(seen, 1, 1 - p)) + plain)
         told, hit, run = texts.again()
         score[told] = np.where(hit[told], 0, score[told]) + self.run[hit[told].astype(int), run[told]]
         return score
 
 
+def coded(counts: DataFrame) -> dict[bytes, int]:
+    """The most frequent tokens, HEAD at most, that occur more than once: a histogram of the counts tells where to cut."""
+    scale = F.floor(F.log2("c") * 64)
+    found, least = 0, None
+    for r in counts.filter("c > 1").groupBy(scale.alias("size")).count().orderBy(F.desc("size")).collect():
+        found += r["count"]
+        if found > HEAD:
+            break
+        least = r["size"]
+    return {bytes(r[0]): r[1] for r in counts.filter((F.col("c") > 1) & (scale >= least)).collect()} if least is not None else {}
+
+
 def learned(docs: DataFrame):
     """(blocks of coded texts, counts of words without a code, coded words, their counts, tokens, token types, model) from
     ``docs(doc_id, text, held_out)``."""
     share = docs.sparkSession.sparkContext.broadcast
     counts = saved(token_counts(docs.filter(~F.col("held_out"))), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = {bytes(r[0]): r[1] for r in counts.filter("c > 1").orderBy(F.desc("c"), "token").limit(HEAD).collect()}
+    head = coded(counts)
     words = sorted({b"", *head}, key=lambda w: (-head.get(w, 0), w))
     known = share({w: i for i, w in enumerate(words)})
     escape = len(words)
