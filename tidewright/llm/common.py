@@ -47,7 +47,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(2**63 - 1)).rstrip("b")) > BATCH_BYTES:
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
