@@ -304,7 +304,7 @@ def test_lm_base_score_is_exact_and_model_learns(spark):
         assert r["n_known"] == sum(w in count for w in tokens) and r["held_out"] == (i in out) and r["score"] < 0
 
 
-def scalar_score(model, words, tokens, held):
+def scalar_score(model, tokens, held):
     """log10 probability of a text, token by token and bit by bit."""
     mask = (1 << 32) - 1
 
@@ -314,10 +314,10 @@ def scalar_score(model, words, tokens, held):
 
     def path(code, symbol):
         at = int(code.start[symbol])
-        return [(int(code.node[k]), int(code.bit[k])) for k in range(at, at + int(code.size[symbol]))]
+        return [(int(code.node[k]), int(code.told[k])) for k in range(at, at + int(code.size[symbol]))]
 
     def state(table, key, node, bits):
-        return int(table[(mix32((key + node * 0x9E3779B1) & mask) * 0x846CA68B & mask) >> 32 - bits])
+        return int(table[((key ^ mix32((node * 0x9E3779B1 + 5) & mask)) * 0x846CA68B & mask) >> 32 - bits])
 
     def level(state, bit):
         return int(lm_score.LEVEL[held * 512 + state * 2 + bit])
@@ -332,7 +332,8 @@ def scalar_score(model, words, tokens, held):
                     h = (h * 263 + (past[-b] + 1 if b <= depth else 0)) & mask
                 keys.append(mix32((h + back) & mask))
             keys.append(mix32((so_far + depth * 0x27D4EB2F) & mask))
-            for node, bit in path(model.spell_code, byte):
+            for node, told in path(model.spell_code, byte):
+                bit = told & 1
                 a, b, c = (level(state(t, k, node, n), bit) for t, k, n in zip(model.spells, keys, lm_score.SPELL_BITS))
                 total += float(model.spell_mix[((a * lm_score.LEVELS + b) * lm_score.LEVELS + c) * 2 + bit])
             so_far = (so_far + (byte + 1) * power) & mask
@@ -340,18 +341,19 @@ def scalar_score(model, words, tokens, held):
             past.append(byte)
         return total
 
-    place = {w: i for i, w in enumerate(words)}
-    symbols = [place.get(w, model.escape) for w in tokens]
+    escape = len(model.known)
+    symbols = [model.known.get(w, escape) for w in tokens]
     score, others, odd, tries, hits, run = 0.0, [], 0, 0, 0, 0
     for i, (w, s) in enumerate(zip(tokens, symbols)):
-        one, two = (symbols[i - k] if i >= k else model.escape + 1 for k in (1, 2))
+        one, two = (symbols[i - k] if i >= k else escape + 1 for k in (1, 2))
         keys = mix32((one * 0x85EBCA6B + 1) & mask), mix32((two * 0xC2B2AE35 + 77) & mask)
         strange = int(np.digitize((odd + 0.4) / (i + 4), lm_score.STRANGE))
         now = 0.0
-        for node, bit in path(model.code, s):
+        for node, told in path(model.code, s):
+            bit = told & 1
             a, b = (level(state(t, k, node, n), bit) for t, k, n in zip(model.tables, keys, lm_score.BITS))
-            now += float(model.mix[(((strange * lm_score.NODE_LEVELS + int(model.code.level[node])) * lm_score.LEVELS + a) * lm_score.LEVELS + b) * 2 + bit])
-        if s == model.escape:
+            now += float(model.mix[(((strange * lm_score.NODE_LEVELS + (told >> 1)) * lm_score.LEVELS + a) * lm_score.LEVELS + b) * 2 + bit])
+        if s == escape:
             p = (0.5 + hits) / (1 + tries) if tries else 0.0
             now += math.log10(p / len(set(others))) if w in others else math.log10(1 - p) + spelling(w)
             hits, tries, odd = hits + (w in others), tries + 1, odd + 1
@@ -368,24 +370,25 @@ def scalar_score(model, words, tokens, held):
 def test_lm_score_is_the_product_of_its_bits(spark):
     rows = made(9, 40) + [(500, "a b c d e f g a b c d q9 q9 a b c d e f zz zz zz zz"), (501, "x y " * 30), (None, "a b")]
     docs = table(spark, rows).withColumn("held_out", F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False)))
-    _, _, words, _, _, _, model = lm_score.learned(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "held_out"))
+    *_, model = lm_score.learned(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "held_out"))
     got = [{(r["doc_id"], r["held_out"], r["n_tokens"]): r["score"] for r in lm_score.lm_score(docs.repartition(n), F.col("held_out")).collect()} for n in (1, 5)]
     assert got[0] == got[1]
     for i, x in rows:
         if i != 904:
             tokens = [*space_words(x), b""]
             held = i is not None and zlib.crc32(str(i).encode()) % 10 == 0
-            assert got[0][i, held, len(tokens)] == pytest.approx(scalar_score(model, words, tokens, held), rel=1e-4)
+            assert got[0][i, held, len(tokens)] == pytest.approx(scalar_score(model, tokens, held), rel=1e-4)
 
 
 def test_lm_bits_are_a_distribution(spark):
     docs = table(spark, made(9, 40)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("held_out"))
-    _, _, words, _, _, _, model = lm_score.learned(docs)
+    *_, model = lm_score.learned(docs)
     assert sum(2.0**-n for n in model.code.size) == pytest.approx(1)
-    held = len(words) + 1
-    ids = np.array([[3, 1, x if x < len(words) else int(lm_score.TAIL)] for x in range(held)], np.uint32)
-    row = types.SimpleNamespace(ids=ids.tobytes(), size=np.full(held, 3, np.int32).tobytes(), held=np.ones(held, bool).tobytes(), tail=b"")
-    texts = lm_score.Texts(row, model.escape)
+    words = [*model.known, b"?"]
+    n = len(words)
+    ids = np.array([[3, 1, x] for x in range(n)], np.uint32)
+    row = types.SimpleNamespace(ids=ids.tobytes(), size=np.full(n, 3, np.int32).tobytes(), held=np.ones(n, bool).tobytes(), words=b" ".join(words))
+    texts = lm_score.Texts(row, model.known)
     cell, first = lm_score.word_cells(texts, model.code, model.tables, 0, len(texts.ids))
     p = 10 ** np.add.reduceat(model.mix[cell].astype(float), first).reshape(-1, 3)[:, 2]
     assert p.sum() == pytest.approx(1, rel=1e-4)

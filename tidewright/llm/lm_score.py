@@ -25,6 +25,7 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -87,6 +88,12 @@ SURE = np.digitize(np.arange(LEVELS), [1, 6, 18])  # evidence of a level: none,
 # Codes.
 
 
+def _mix32(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint32(16))
+    x = x * np.uint32(0x7FEB352D)
+    return x ^ (x >> np.uint32(15))
+
+
 class Code:
     """A Huffman code: of each symbol its path as (inner node, bit) pairs, all paths laid flat."""
 
@@ -115,45 +122,42 @@ class Code:
         for k, (live, node, bit) in enumerate(steps):
             self.node[self.start[live] + self.size[live] - 1 - k] = node
             self.bit[self.start[live] + self.size[live] - 1 - k] = bit
-        self.level = np.rint(np.clip(np.log((mass[:, 1] + 0.4) / (mass[:, 0] + 0.4)) / 3, -1, 1) * 4.5 + 4.5).astype(np.uint8)
+        level = np.rint(np.clip(np.log((mass[:, 1] + 0.4) / (mass[:, 0] + 0.4)) / 3, -1, 1) * 4.5 + 4.5).astype(np.uint8)
+        self.key = _mix32(self.node * np.uint32(0x9E3779B1) + np.uint32(5))
+        self.told = level[self.node] * 2 + self.bit
 
     def paths(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(symbol's index, node, bit, first bit of each symbol)."""
+        """(bits of each symbol, key of each bit's node, that node's level and the bit, first bit of each symbol)."""
         n = self.size[symbols]
         ends = np.cumsum(n)
-        owner = np.repeat(np.arange(len(symbols), dtype=np.int32), n)
         path = np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(self.start[symbols] - (ends - n), n)
-        return owner, self.node[path], self.bit[path], ends - n
+        return n, self.key[path], self.told[path], ends - n
 
 
-def _mix32(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint32(16))
-    x = x * np.uint32(0x7FEB352D)
-    return x ^ (x >> np.uint32(15))
-
-
-def _slots(key: np.ndarray, owner: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    return _mix32(key[owner] + node * np.uint32(0x9E3779B1)) * np.uint32(0x846CA68B) >> np.uint32(32 - bits)
+def _slots(key: np.ndarray, n: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    return ((np.repeat(key, n) ^ node) * np.uint32(0x846CA68B)) >> np.uint32(32 - bits)
 
 
 class Texts:
-    """A block of texts as symbols: ids of head words, or TAIL and the place in the block's list of other words."""
+    """A block of texts, those of training first, as ids: of coded words, or TAIL and the place among the others."""
 
-    def __init__(self, row, escape: int, training_only: bool = False) -> None:
-        self.ids = np.frombuffer(row.ids, np.uint32)
+    def __init__(self, row, known: dict[bytes, int], training_only: bool = False) -> None:
         self.size = np.frombuffer(row.size, np.int32)
         self.held = np.frombuffer(row.held, bool)
-        self.tail = bytes(row.tail).split(b" ") if row.tail else []
-        self.escape = escape
-        self.keep = np.arange(len(self.size))
+        self.trained = int(self.size[~self.held].sum())
+        ids = np.frombuffer(row.ids, np.uint32)
         if training_only:
-            self.keep = np.flatnonzero(~self.held)
-            self.ids = self.ids[np.repeat(~self.held, self.size)]
-            self.size, self.held = self.size[self.keep], self.held[self.keep]
+            ids, self.size, self.held = ids[: self.trained], self.size[~self.held], self.held[~self.held]
+        words = bytes(row.words).split(b" ")
+        found = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        other = np.flatnonzero(found < 0)
+        self.tail = [words[k] for k in other.tolist()]
+        found[other] = np.arange(len(other)) + int(TAIL)
+        self.ids = found.astype(np.uint32)[ids]
+        escape = len(known)
         n, start = len(self.ids), escape + 1
         self.start = (np.cumsum(self.size) - self.size).astype(np.int64)
         self.first = np.repeat(self.start, self.size)
-        self.out = np.repeat(self.held, self.size)
         self.is_tail = self.ids >= TAIL
         self.symbol = np.where(self.is_tail, np.uint32(escape), self.ids)
         back = np.full((2, n), start, np.uint32)
@@ -166,7 +170,7 @@ class Texts:
         count = np.cumsum(self.is_tail) - self.is_tail
         since = np.arange(n) - self.first
         share = (count - count[self.first] + 0.4) / (since + 4) if n else np.empty(0)
-        self.strange = np.digitize(share, STRANGE).astype(np.int32)
+        self.strange = np.digitize(share, STRANGE).astype(np.int32) * (NODE_LEVELS * LEVELS**2)
 
     def again(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(foretold, hit, run class): the text's two last words stood together before; the word after them then is the
@@ -201,13 +205,16 @@ class Texts:
         return at, seen, fresh - (fresh[first] if len(at) else 0)
 
     def chunks(self) -> Iterator[tuple[int, int]]:
-        for i in range(0, len(self.ids), CHUNK):
+        """Tokens (from, to) worked on at once, all of training or all not."""
+        for i in range(0, self.trained, CHUNK):
+            yield i, min(i + CHUNK, self.trained)
+        for i in range(self.trained, len(self.ids), CHUNK):
             yield i, min(i + CHUNK, len(self.ids))
 
     def bits(self, code: Code, i: int, j: int):
-        """(owner, node, bit, first bits, slots of both contexts) of the tokens i to j."""
-        owner, node, bit, first = code.paths(self.symbol[i:j])
-        return owner, node, bit, first, [_slots(k[i:j], owner, node, b) for k, b in zip(self.key, BITS, strict=True)]
+        """(bits of each token, node's level and bit, first bits, slots of both contexts) of the tokens i to j."""
+        n, node, told, first = code.paths(self.symbol[i:j])
+        return n, told, first, [_slots(k[i:j], n, node, b) for k, b in zip(self.key, BITS, strict=True)]
 
 
 def _pairs(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -218,7 +225,7 @@ def _pairs(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
 
 
 def spelled(words: list[bytes], code: Code):
-    """(owner, bit, first bits, slots of the three contexts) of the words' bytes, each word ended by a blank."""
+    """(word, bit, first bits, slots of the three contexts) of the words' bytes, each word ended by a blank."""
     text = np.frombuffer(b" ".join(words) + b" ", np.uint8)
     size = np.array([len(w) + 1 for w in words], np.int64)
     begin = np.repeat(np.cumsum(size) - size, size)
@@ -233,10 +240,10 @@ def spelled(words: list[bytes], code: Code):
     power = np.cumprod(np.full(int(size.max()), 0x01000193, np.uint32), dtype=np.uint32)
     total = np.cumsum(wide * power[depth], dtype=np.uint32) - wide * power[depth]
     keys.append(_mix32(total - total[begin] + depth.astype(np.uint32) * np.uint32(0x27D4EB2F)))
-    owner, node, bit, first = code.paths(text)
+    n, node, told, first = code.paths(text)
     starts = np.cumsum(size) - size
-    word = np.repeat(np.arange(len(words)), size)
-    return word[owner], bit, first[starts], [_slots(k, owner, node, b) for k, b in zip(keys, SPELL_BITS, strict=True)]
+    word = np.repeat(np.arange(len(words)), np.add.reduceat(n, starts))
+    return word, told & 1, first[starts], [_slots(k, n, node, b) for k, b in zip(keys, SPELL_BITS, strict=True)]
 
 
 def _some(words: list[bytes], *more: np.ndarray, most: int = 50_000):
@@ -302,97 +309,81 @@ WORD_CELLS, SPELL_CELLS = 4 * NODE_LEVELS * LEVELS**2, LEVELS**3
 
 
 def word_cells(texts: Texts, code: Code, tables: list[np.ndarray], i: int, j: int):
-    owner, node, bit, first, slots = texts.bits(code, i, j)
-    at = texts.out[i:j][owner].astype(np.int32) * 512 + bit
-    one, two = (LEVEL[at + t[s].astype(np.int32) * 2] for t, s in zip(tables, slots, strict=True))
-    cell = ((texts.strange[i:j][owner] * NODE_LEVELS + code.level[node]) * LEVELS + one) * LEVELS + two
+    """(cell and bit, first bits) of the tokens i to j."""
+    n, told, first, slots = texts.bits(code, i, j)
+    level, bit = LEVEL[512 * (i >= texts.trained) :], told & np.uint8(1)
+    one, two = (level[t[s] * np.int32(2) + bit] for t, s in zip(tables, slots, strict=True))
+    cell = np.repeat(texts.strange[i:j], n) + (told >> np.uint8(1)) * np.int32(LEVELS**2) + one * np.int32(LEVELS) + two
     return cell * 2 + bit, first
 
 
-def spell_cells(words: list[bytes], out: np.ndarray, code: Code, tables: list[np.ndarray]):
-    owner, bit, first, slots = spelled(words, code)
-    at = out[owner].astype(np.int32) * 512 + bit
-    a, b, c = (LEVEL[at + t[s].astype(np.int32) * 2] for t, s in zip(tables, slots, strict=True))
-    return ((a.astype(np.int32) * LEVELS + b) * LEVELS + c) * 2 + bit, owner, first
+def spell_cells(words: list[bytes], out: bool, code: Code, tables: list[np.ndarray]):
+    """(cell and bit, word, first bits)."""
+    word, bit, first, slots = spelled(words, code)
+    level = LEVEL[512 * out :]
+    a, b, c = (level[t[s] * np.int32(2) + bit] for t, s in zip(tables, slots, strict=True))
+    return (a * np.int32(LEVELS**2) + b * np.int32(LEVELS) + c) * 2 + bit, word, first
 
 
 # Distributed passes.
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(token, c) over ``docs(text)``; the end mark is the empty token."""
+class _Places(dict):
+    """Words to their places in the order in which they came."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                count.update(space_words(text))
-            count[b""] += len(batch)
-            if len(count) > FLUSH:
-                yield pd.DataFrame({"token": list(count), "n": list(count.values())})
-                count.clear()
-        if count:
-            yield pd.DataFrame({"token": list(count), "n": list(count.values())})
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
 
-    parts = docs.select("text").mapInPandas(run, "token binary, n long")
-    return parts.groupBy("token").agg(F.sum("n").alias("c"))
 
+BLOCK = "doc binary, null binary, held binary, size binary, length binary, ids binary, words binary"
 
-class _Ids(dict):
-    """Head words to ids; another word gets the next place of the block's list."""
 
-    tail: list[bytes]
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts in blocks, those of training first: every token as its word's place in the block's list of words."""
+    rows, places, n = [], _Places({b"": 0}), 0
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = found = len(self.tail) | int(TAIL)
-        self.tail.append(word)
-        return found
+    def block() -> pd.DataFrame:
+        rows.sort(key=lambda r: r[2])
+        doc, null, held, size, length, ids = zip(*rows, strict=True)
+        arrays = (np.array(doc, np.int64), np.array(null), np.array(held, bool), np.array(size, np.int32), np.array(length, np.int64))
+        return pd.DataFrame([(*(x.tobytes() for x in arrays), b"".join(ids), b" ".join(places))], columns=["doc", "null", "held", "size", "length", "ids", "words"])
 
+    for batch in batches:
+        null = batch["doc_id"].isna()
+        for doc, no, out, text in zip(batch["doc_id"].where(~null, 0).tolist(), null, batch["held_out"], batch["text"], strict=True):
+            words = space_words(text)
+            words.append(b"")
+            ids = np.fromiter(map(places.__getitem__, words), np.uint32, len(words)).tobytes()
+            rows.append((doc, no, out, len(words), sum(map(len, words)) + len(words), ids))
+            n += len(words)
+            if n >= BLOCK_TOKENS:
+                yield block()
+                rows, places, n = [], _Places({b"": 0}), 0
+    if rows:
+        yield block()
 
-def _encoded(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = _Ids(shared.value)
-        end = ids[b""]
-        ids.tail = []
-        docs, held, size, length, found, n = [], [], [], [], [], 0
-
-        def row() -> pd.DataFrame:
-            out = pd.DataFrame(
-                {
-                    "doc": [np.array([0 if d is None else d for d in docs], np.int64).tobytes()],
-                    "null": [np.array([d is None for d in docs]).tobytes()],
-                    "held": [np.array(held, bool).tobytes()],
-                    "size": [np.array(size, np.int32).tobytes()],
-                    "length": [np.array(length, np.int64).tobytes()],
-                    "ids": [b"".join(found)],
-                    "tail": [b" ".join(ids.tail)],
-                    "tokens": [n],
-                }
-            )
-            for w in ids.tail:
-                del ids[w]
-            ids.tail = []
-            docs.clear(), held.clear(), size.clear(), length.clear(), found.clear()
-            return out
 
-        for batch in batches:
-            for doc, out, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["held_out"], batch["text"], strict=True):
-                words = space_words(text)
-                words.append(b"")
-                found.append(np.fromiter(map(ids.__getitem__, words), np.uint32, len(words)).tobytes())
-                docs.append(doc), held.append(out), size.append(len(words)), length.append(sum(map(len, words)) + len(words))
-                n += len(words)
-                if n >= BLOCK_TOKENS:
-                    yield row()
-                    n = 0
-        if docs:
-            yield row()
-        assert ids[b""] == end
-
-    return run
+def token_counts(blocks: DataFrame) -> DataFrame:
+    """(token, c) over the blocks' texts of training; the end mark is the empty token."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count: Counter = Counter()
+        for batch in batches:
+            for row in batch.itertuples():
+                trained = int(np.frombuffer(row.size, np.int32)[~np.frombuffer(row.held, bool)].sum())
+                n = np.bincount(np.frombuffer(row.ids, np.uint32)[:trained])
+                for w, c in zip(bytes(row.words).split(b" "), n.tolist(), strict=False):
+                    if c:
+                        count[w] += c
+            if len(count) > FLUSH:
+                yield pd.DataFrame({"token": list(count), "n": list(count.values())})
+                count.clear()
+        if count:
+            yield pd.DataFrame({"token": list(count), "n": list(count.values())})
 
-BLOCK = "doc binary, null binary, held binary, size binary, length binary, ids binary, tail binary, tokens long"
+    parts = blocks.select("held", "size", "ids", "words").mapInPandas(run, "token binary, n long")
+    return parts.groupBy("token").agg(F.sum("n").alias("c"))
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -405,7 +396,7 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.frombuffer(x[1:], x[:1].decode()).astype(np.int64)
 
 
-def _table_rows(tables: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+def _parts(tables: list[np.ndarray]) -> Iterator[pd.DataFrame]:
     for c, table in enumerate(tables):
         for at in range(0, len(table), 2 * PART):
             part = table[at : at + 2 * PART]
@@ -417,7 +408,7 @@ def _collected(parts: DataFrame, bits: tuple[int, ...]) -> list[np.ndarray]:
     """The states of all slots: partial counts are summed part by part; a slot is one byte, their number fixed."""
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        n = sum(map(_unpacked, rows["counts"])).reshape(-1, 2)
+        n = _total(rows["counts"]).reshape(-1, 2)
         return pd.DataFrame({"context": rows["context"].iloc[:1], "part": rows["part"].iloc[:1], "states": [state_of(n[:, 0], n[:, 1]).tobytes()]})
 
     tables = [np.zeros(1 << b, np.uint8) for b in bits]
@@ -427,21 +418,43 @@ def _collected(parts: DataFrame, bits: tuple[int, ...]) -> list[np.ndarray]:
     return tables
 
 
+def _total(counts) -> np.ndarray:
+    out = 0
+    for x in counts:
+        out = out + _unpacked(x)
+    return out
+
+
+def _summed(parts: DataFrame, *sizes: int) -> list[np.ndarray]:
+    """Tables of whole numbers, of fixed sizes, summed part by part."""
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"context": rows["context"].iloc[:1], "part": rows["part"].iloc[:1], "counts": [_packed(_total(rows["counts"]))]})
+
+    tables = [np.zeros(n, np.int64) for n in sizes]
+    for r in parts.groupBy("context", "part").applyInPandas(merge, COUNTS).collect():
+        n = _unpacked(r["counts"])
+        tables[r["context"]][r["part"] * 2 * PART :][: len(n)] = n
+    return [t.reshape(-1, 2) for t in tables]
+
+
+COUNTS = "context int, part int, counts binary"
+
+
 def word_tables(blocks: DataFrame, shared, tasks: int) -> list[np.ndarray]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, escape = shared.value
+        known, code = shared.value
         tables = [np.zeros(2 << b, np.uint32) for b in BITS]
         for batch in batches:
             for row in batch.itertuples():
-                texts = Texts(row, escape, training_only=True)
+                texts = Texts(row, known, training_only=True)
                 for i, j in texts.chunks():
-                    _, _, bit, _, slots = texts.bits(code, i, j)
+                    _, told, _, slots = texts.bits(code, i, j)
                     for t, s in zip(tables, slots, strict=True):
-                        np.add.at(t, s.astype(np.int64) * 2 + bit, np.uint32(1))
-        yield from _table_rows(tables)
+                        np.add.at(t, s.astype(np.int64) * 2 + (told & 1), np.uint32(1))
+        yield from _parts(tables)
 
-    parts = blocks.select("held", "size", "ids", F.lit(None).cast("binary").alias("tail")).coalesce(tasks)
-    return _collected(parts.mapInPandas(run, "context int, part int, counts binary"), BITS)
+    return _collected(blocks.select("held", "size", "ids", "words").coalesce(tasks).mapInPandas(run, COUNTS), BITS)
 
 
 def spell_tables(rare: DataFrame, shared, tasks: int) -> list[np.ndarray]:
@@ -451,19 +464,12 @@ def spell_tables(rare: DataFrame, shared, tasks: int) -> list[np.ndarray]:
         tables = [np.zeros(2 << b, np.uint64) for b in SPELL_BITS]
         for batch in batches:
             for words, c in _some(batch["token"].tolist(), batch["c"].to_numpy(np.uint64)):
-                owner, bit, _, slots = spelled(words, shared.value)
+                word, bit, _, slots = spelled(words, shared.value)
                 for t, s in zip(tables, slots, strict=True):
-                    np.add.at(t, s.astype(np.int64) * 2 + bit, c[owner])
-        yield from _table_rows(tables)
+                    np.add.at(t, s.astype(np.int64) * 2 + bit, c[word])
+        yield from _parts(tables)
 
-    return _collected(rare.coalesce(tasks).mapInPandas(run, "context int, part int, counts binary"), SPELL_BITS)
-
-
-def _summed(parts: DataFrame, size: int) -> np.ndarray:
-    out = np.zeros(size, np.int64)
-    for r in parts.toLocalIterator():
-        out += _unpacked(r["n"])
-    return out
+    return _collected(rare.coalesce(tasks).mapInPandas(run, COUNTS), SPELL_BITS)
 
 
 def spell_seen(rare: DataFrame, shared, tasks: int) -> np.ndarray:
@@ -474,40 +480,38 @@ def spell_seen(rare: DataFrame, shared, tasks: int) -> np.ndarray:
         seen = np.zeros(SPELL_CELLS * 2, np.int64)
         for batch in batches:
             for words, c in _some(batch["token"].tolist(), batch["c"].to_numpy(np.float64)):
-                cell, owner, _ = spell_cells(words, np.zeros(len(words), bool), code, tables)
-                seen += np.bincount(cell, c[owner], len(seen)).astype(np.int64)
-        yield pd.DataFrame({"n": [_packed(seen)]})
+                cell, word, _ = spell_cells(words, False, code, tables)
+                seen += np.bincount(cell, c[word], len(seen)).astype(np.int64)
+        yield from _parts([seen])
 
-    return _summed(rare.coalesce(tasks).mapInPandas(run, "n binary"), SPELL_CELLS * 2).reshape(-1, 2)
+    return _summed(rare.coalesce(tasks).mapInPandas(run, COUNTS), SPELL_CELLS * 2)[0]
 
 
-def word_seen(blocks: DataFrame, shared, tasks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of both bits by cell over the training texts; tries and hits of words foretold, by run."""
-    more = (len(RUNS) + 1) * 2
+def word_seen(blocks: DataFrame, shared, tasks: int) -> list[np.ndarray]:
+    """Counts of both bits by cell over the training texts; misses and hits of words foretold, by run."""
+    sizes = WORD_CELLS * 2, (len(RUNS) + 1) * 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, escape, tables = shared.value
-        seen = np.zeros(WORD_CELLS * 2 + more, np.int64)
+        known, code, tables = shared.value
+        seen, runs = (np.zeros(n, np.int64) for n in sizes)
         for batch in batches:
             for row in batch.itertuples():
-                texts = Texts(row, escape, training_only=True)
+                texts = Texts(row, known, training_only=True)
                 told, hit, run = texts.again()
-                seen[WORD_CELLS * 2 :] += np.bincount(run[told] * 2 + hit[told], minlength=more)
+                runs += np.bincount(run[told] * 2 + hit[told], minlength=sizes[1])
                 for i, j in texts.chunks():
                     cell, _ = word_cells(texts, code, tables, i, j)
-                    seen[: WORD_CELLS * 2] += np.bincount(cell, minlength=WORD_CELLS * 2)
-        yield pd.DataFrame({"n": [_packed(seen)]})
+                    seen += np.bincount(cell, minlength=sizes[0])
+        yield from _parts([seen, runs])
 
-    parts = blocks.select("held", "size", "ids", F.lit(None).cast("binary").alias("tail")).coalesce(tasks)
-    n = _summed(parts.mapInPandas(run, "n binary"), WORD_CELLS * 2 + more)
-    return n[: WORD_CELLS * 2].reshape(-1, 2), n[WORD_CELLS * 2 :].reshape(-1, 2)
+    return _summed(blocks.select("held", "size", "ids", "words").coalesce(tasks).mapInPandas(run, COUNTS), *sizes)
 
 
 class Model:
     """Everything that tells a probability: codes, states, mixtures, hits by run."""
 
-    def __init__(self, code, escape, tables, mix, spell_code, spells, spell_mix, runs) -> None:
-        self.code, self.escape, self.tables, self.mix = code, escape, tables, mix
+    def __init__(self, known, code, tables, mix, spell_code, spells, spell_mix, runs) -> None:
+        self.known, self.code, self.tables, self.mix = known, code, tables, mix
         self.spell_code, self.spells, self.spell_mix = spell_code, spells, spell_mix
         p = (runs[:, 1] + 0.5) / (runs.sum(1) + 1)
         self.run = np.log10(np.stack([1 - p, p]))
@@ -516,8 +520,8 @@ class Model:
         """log10 probability of words' spellings, for texts out of training or in it."""
         each = []
         for (some,) in _some(words):
-            cell, _, first = spell_cells(some, np.full(len(some), out), self.spell_code, self.spells)
-            each.append(np.add.reduceat(self.spell_mix[cell].astype(np.float64), first))
+            cell, _, first = spell_cells(some, out, self.spell_code, self.spells)
+            each.append(np.add.reduceat(self.spell_mix[cell], first, dtype=np.float64))
         return np.concatenate(each) if each else np.empty(0)
 
     def tokens(self, texts: Texts) -> np.ndarray:
@@ -525,7 +529,7 @@ class Model:
         score = np.empty(len(texts.ids))
         for i, j in texts.chunks():
             cell, first = word_cells(texts, self.code, self.tables, i, j)
-            score[i:j] = np.add.reduceat(self.mix[cell].astype(np.float64), first)
+            score[i:j] = np.add.reduceat(self.mix[cell], first, dtype=np.float64)
         at, seen, fresh = texts.cached()
         if len(at):
             first = np.searchsorted(at, texts.first[at])
@@ -536,7 +540,7 @@ class Model:
             place = (texts.ids[at] ^ TAIL).astype(np.int64)
             plain = np.zeros(len(at))
             for out in (False, True):
-                new = np.flatnonzero(~seen & (texts.out[at] == out))
+                new = np.flatnonzero(~seen & ((at >= texts.trained) == out))
                 need, which = np.unique(place[new], return_inverse=True)
                 plain[new] = self.spelling([texts.tail[k] for k in need.tolist()], out)[which]
             score[at] += np.where(seen, np.log10(np.where(seen, p, 1) / np.maximum(fresh, 1)), np.log10(np.where(seen, 1, 1 - p)) + plain)
@@ -558,34 +562,34 @@ def coded(counts: DataFrame) -> dict[bytes, int]:
 
 
 def learned(docs: DataFrame):
-    """(blocks of coded texts, counts of words without a code, coded words, their counts, tokens, token types, model) from
+    """(blocks of texts, counts of words without a code, counts of those with one, tokens, token types, model) from
     ``docs(doc_id, text, held_out)``."""
     share = docs.sparkSession.sparkContext.broadcast
-    counts = saved(token_counts(docs.filter(~F.col("held_out"))), "counts")
+    blocks = saved(docs.mapInPandas(_blocks, BLOCK), "blocks")
+    counts = saved(token_counts(blocks), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     head = coded(counts)
     words = sorted({b"", *head}, key=lambda w: (-head.get(w, 0), w))
-    known = share({w: i for i, w in enumerate(words)})
-    escape = len(words)
+    known = {w: i for i, w in enumerate(words)}
     code = Code(np.array([*(max(1, head.get(w, 0)) for w in words), max(1, n - sum(head.values()))]))
     letters = np.ones(256, np.int64)
     for w, c in head.items():
         np.add.at(letters, np.frombuffer(w + b" ", np.uint8), c)
     spell_code = Code(letters)
 
-    blocks = saved(docs.mapInPandas(_encoded(known), BLOCK), "blocks")
     tasks = 1 + n // TABLE_TOKENS
-    tables = word_tables(blocks, share((code, escape)), tasks)
+    shared = share((known, code))
+    tables = word_tables(blocks, shared, tasks)
 
     def rare_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[[w not in known.value for w in batch["token"]]]
+            yield batch[[w not in shared.value[0] for w in batch["token"]]]
 
     rare = saved(counts.mapInPandas(rare_only, "token binary, c long"), "rare")
     spells = spell_tables(rare, share(spell_code), tasks)
     spell_mix = spell_mixture(spell_seen(rare, share((spell_code, spells)), tasks))
-    cells, runs = word_seen(blocks, share((code, escape, tables)), tasks)
-    return blocks, rare, words, head, n, v, Model(code, escape, tables, word_mixture(cells), spell_code, spells, spell_mix, runs)
+    cells, runs = word_seen(blocks, share((known, code, tables)), tasks)
+    return blocks, rare, head, n, v, Model(known, code, tables, word_mixture(cells), spell_code, spells, spell_mix, runs)
 
 
 def lm_score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -605,17 +609,16 @@ def lm_score(docs: DataFrame, held_out: Column) -> DataFrame:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
     )
-    blocks, rare, words, head, n, v, model = learned(docs)
-    share = spark.sparkContext.broadcast
-    shared = share(model)
-    logs = share(np.array([math.log10(head.get(w, 0) + 0.1) for w in words] + [0.0]))
-    in_head = share(np.array([w in head for w in words] + [False]))
+    blocks, rare, head, n, v, model = learned(docs)
+    logs = np.array([math.log10(head.get(w, 0) + 0.1) for w in model.known] + [0.0])
+    in_head = np.array([w in head for w in model.known] + [False])
+    shared = spark.sparkContext.broadcast((model, logs, in_head))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model, logs, in_head = shared.value
         for batch in batches:
             for row in batch.itertuples():
-                texts = Texts(row, model.escape)
+                texts = Texts(row, model.known)
                 sums = lambda x: np.add.reduceat(x, texts.start)
                 score = sums(model.tokens(texts))
                 hashed = np.array([xxhash.xxh64_intdigest(w, 42) for w in texts.tail], np.uint64).view(np.int64)
@@ -628,8 +631,8 @@ def lm_score(docs: DataFrame, held_out: Column) -> DataFrame:
                         "doc_id": doc,
                         "held_out": texts.held,
                         "n_tokens": texts.size.astype(np.int64),
-                        "head_known": sums(in_head.value[texts.symbol].astype(np.int64)),
-                        "head_base": sums(logs.value[texts.symbol]),
+                        "head_known": sums(in_head[texts.symbol].astype(np.int64)),
+                        "head_base": sums(logs[texts.symbol]),
                         "score": score,
                         "bits_per_byte": -score / math.log10(2) / np.frombuffer(row.length, np.int64),
                         "tail": [tail[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)],
