@@ -387,7 +387,7 @@ def test_lm_bits_are_a_distribution(spark):
     words = [*model.known, b"?"]
     n = len(words)
     ids = np.array([[3, 1, x] for x in range(n)], np.uint32)
-    row = types.SimpleNamespace(ids=ids.tobytes(), size=np.full(n, 3, np.int32).tobytes(), held=np.ones(n, bool).tobytes(), words=b" ".join(words))
+    row = types.SimpleNamespace(ids=lm_score._packed(ids.reshape(-1)), size=np.full(n, 3, np.int32).tobytes(), held=np.ones(n, bool).tobytes(), words=b" ".join(words))
     texts = lm_score.Texts(row, model.known)
     cell, first = lm_score.word_cells(texts, model.code, model.tables, 0, len(texts.ids))
     p = 10 ** np.add.reduceat(model.mix[cell].astype(float), first).reshape(-1, 3)[:, 2]

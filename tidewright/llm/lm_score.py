@@ -138,6 +138,16 @@ def _slots(key: np.ndarray, n: np.ndarray, node: np.ndarray, bits: int) -> np.nd
     return ((np.repeat(key, n) ^ node) * np.uint32(0x846CA68B)) >> np.uint32(32 - bits)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest type that holds them."""
+    kind = next(k for k in "BHIQ" if counts.max(initial=0) <= np.iinfo(k).max)
+    return kind.encode() + counts.astype(kind).tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x[1:], x[:1].decode()).astype(np.int64)
+
+
 class Texts:
     """A block of texts, those of training first, as ids: of coded words, or TAIL and the place among the others."""
 
@@ -145,7 +155,7 @@ class Texts:
         self.size = np.frombuffer(row.size, np.int32)
         self.held = np.frombuffer(row.held, bool)
         self.trained = int(self.size[~self.held].sum())
-        ids = np.frombuffer(row.ids, np.uint32)
+        ids = _unpacked(row.ids)
         if training_only:
             ids, self.size, self.held = ids[: self.trained], self.size[~self.held], self.held[~self.held]
         words = bytes(row.words).split(b" ")
@@ -347,14 +357,14 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows.sort(key=lambda r: r[2])
         doc, null, held, size, length, ids = zip(*rows, strict=True)
         arrays = (np.array(doc, np.int64), np.array(null), np.array(held, bool), np.array(size, np.int32), np.array(length, np.int64))
-        return pd.DataFrame([(*(x.tobytes() for x in arrays), b"".join(ids), b" ".join(places))], columns=["doc", "null", "held", "size", "length", "ids", "words"])
+        return pd.DataFrame([(*(x.tobytes() for x in arrays), _packed(np.concatenate(ids)), b" ".join(places))], columns=["doc", "null", "held", "size", "length", "ids", "words"])
 
     for batch in batches:
         null = batch["doc_id"].isna()
         for doc, no, out, text in zip(batch["doc_id"].where(~null, 0).tolist(), null, batch["held_out"], batch["text"], strict=True):
             words = space_words(text)
             words.append(b"")
-            ids = np.fromiter(map(places.__getitem__, words), np.uint32, len(words)).tobytes()
+            ids = np.fromiter(map(places.__getitem__, words), np.uint32, len(words))
             rows.append((doc, no, out, len(words), sum(map(len, words)) + len(words), ids))
             n += len(words)
             if n >= BLOCK_TOKENS:
@@ -372,7 +382,7 @@ def token_counts(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples():
                 trained = int(np.frombuffer(row.size, np.int32)[~np.frombuffer(row.held, bool)].sum())
-                n = np.bincount(np.frombuffer(row.ids, np.uint32)[:trained])
+                n = np.bincount(_unpacked(row.ids)[:trained])
                 for w, c in zip(bytes(row.words).split(b" "), n.tolist(), strict=False):
                     if c:
                         count[w] += c
@@ -386,16 +396,6 @@ def token_counts(blocks: DataFrame) -> DataFrame:
     return parts.groupBy("token").agg(F.sum("n").alias("c"))
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Whole numbers in the narrowest type that holds them."""
-    kind = next(k for k in "BHIQ" if counts.max(initial=0) <= np.iinfo(k).max)
-    return kind.encode() + counts.astype(kind).tobytes()
-
-
-def _unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(x[1:], x[:1].decode()).astype(np.int64)
-
-
 def _parts(tables: list[np.ndarray]) -> Iterator[pd.DataFrame]:
     for c, table in enumerate(tables):
         for at in range(0, len(table), 2 * PART):
@@ -565,7 +565,7 @@ def learned(docs: DataFrame):
     """(blocks of texts, counts of words without a code, counts of those with one, tokens, token types, model) from
     ``docs(doc_id, text, held_out)``."""
     share = docs.sparkSession.sparkContext.broadcast
-    blocks = saved(docs.mapInPandas(_blocks, BLOCK), "blocks")
+    blocks = saved(docs.mapInPandas(_blocks, BLOCK), "blocks", "zstd")
     counts = saved(token_counts(blocks), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     head = coded(counts)
