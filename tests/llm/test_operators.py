@@ -314,10 +314,11 @@ def scalar_score(model, tokens, held):
 
     def path(code, symbol):
         at = int(code.start[symbol])
-        return [(int(code.node[k]), int(code.told[k])) for k in range(at, at + int(code.size[symbol]))]
+        return [(int(code.node[k - (k - at) % 3]), int(code.told[k])) for k in range(at, at + int(code.size[symbol]))]
 
-    def state(table, key, node, bits):
-        return int(table[((key ^ mix32((node * 0x9E3779B1 + 5) & mask)) * 0x846CA68B & mask) >> 32 - bits])
+    def state(table, key, top, told, bits):
+        group = (key ^ mix32((top * 0x9E3779B1 + 5) & mask)) * 0x846CA68B & mask
+        return int(table[group >> 32 - bits & ~7 | told >> 5])
 
     def level(state, bit):
         return int(lm_score.LEVEL[held * 512 + state * 2 + bit])
@@ -334,7 +335,7 @@ def scalar_score(model, tokens, held):
             keys.append(mix32((so_far + depth * 0x27D4EB2F) & mask))
             for node, told in path(model.spell_code, byte):
                 bit = told & 1
-                a, b, c = (level(state(t, k, node, n), bit) for t, k, n in zip(model.spells, keys, lm_score.SPELL_BITS))
+                a, b, c = (level(state(t, k, node, told, n), bit) for t, k, n in zip(model.spells, keys, lm_score.SPELL_BITS))
                 total += float(model.spell_mix[((a * lm_score.LEVELS + b) * lm_score.LEVELS + c) * 2 + bit])
             so_far = (so_far + (byte + 1) * power) & mask
             power = power * 0x01000193 & mask
@@ -345,14 +346,16 @@ def scalar_score(model, tokens, held):
     symbols = [model.known.get(w, escape) for w in tokens]
     score, others, odd, tries, hits, run = 0.0, [], 0, 0, 0, 0
     for i, (w, s) in enumerate(zip(tokens, symbols)):
-        one, two = (symbols[i - k] if i >= k else escape + 1 for k in (1, 2))
-        keys = mix32((one * 0x85EBCA6B + 1) & mask), mix32((two * 0xC2B2AE35 + 77) & mask)
+        one = symbols[i - 1] if i else escape + 1
+        lead = [sum(x < lm_score.MARKERS and model.kinds[x] == k for x in symbols[:i]) for k in range(lm_score.KINDS)]
+        kind = lead.index(max(lead)) if max(lead) else lm_score.KINDS
+        keys = mix32((kind * 0xC2B2AE35 + 77) & mask), mix32((one * 0x85EBCA6B + 1) & mask)
         strange = int(np.digitize((odd + 0.4) / (i + 4), lm_score.STRANGE))
         now = 0.0
         for node, told in path(model.code, s):
             bit = told & 1
-            a, b = (level(state(t, k, node, n), bit) for t, k, n in zip(model.tables, keys, lm_score.BITS))
-            now += float(model.mix[(((strange * lm_score.NODE_LEVELS + (told >> 1)) * lm_score.LEVELS + a) * lm_score.LEVELS + b) * 2 + bit])
+            a, b = (level(state(t, k, node, told, n), bit) for t, k, n in zip(model.tables, keys, lm_score.BITS))
+            now += float(model.mix[(((strange * lm_score.NODE_LEVELS + (told >> 1 & 15)) * lm_score.LEVELS + a) * lm_score.LEVELS + b) * 2 + bit])
         if s == escape:
             p = (0.5 + hits) / (1 + tries) if tries else 0.0
             now += math.log10(p / len(set(others))) if w in others else math.log10(1 - p) + spelling(w)
@@ -388,9 +391,12 @@ def test_lm_bits_are_a_distribution(spark):
     n = len(words)
     ids = np.array([[3, 1, x] for x in range(n)], np.uint32)
     row = types.SimpleNamespace(ids=lm_score._packed(ids.reshape(-1)), size=np.full(n, 3, np.int32).tobytes(), held=np.ones(n, bool).tobytes(), words=b" ".join(words))
-    texts = lm_score.Texts(row, model.known)
-    cell, first = lm_score.word_cells(texts, model.code, model.tables, 0, len(texts.ids))
-    p = 10 ** np.add.reduceat(model.mix[cell].astype(float), first).reshape(-1, 3)[:, 2]
+    texts = lm_score.Texts(row, model.known, model.kinds)
+    each = np.empty(texts.unique)
+    for i, j in texts.chunks():
+        cell, _, first = lm_score.word_cells(texts, model.code, model.tables, i, j)
+        each[i:j] = np.add.reduceat(model.mix[cell].astype(float), first)
+    p = 10 ** each[texts.which].reshape(-1, 3)[:, 2]
     assert p.sum() == pytest.approx(1, rel=1e-4)
 
 

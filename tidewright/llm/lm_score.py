@@ -2,10 +2,11 @@
 
 A token is coded as bits: the most frequent words (and the end mark) have a Huffman code, any other word is an escape
 followed by its spelling, a Huffman code of bytes.  Three predictors foretell every bit of a word: the word code's own
-node, the word before, and the word before that; three more foretell the bits of a spelling (last two bytes, last four
-bytes, the word so far).  Hashed contexts keep counts of both values over the whole training corpus as a state of one
-byte.  Logistic mixers whose weights are gated by the evidence and by how strange the text was so far combine them, and
-a probability map refines their output.
+node, the kind of text with the node, and the word before with the node; three more foretell the bits of a spelling
+(last two bytes, last four bytes, the word so far).  Hashed contexts keep counts of both values over the whole training
+corpus as a state of one byte.  Logistic mixers whose weights are gated by the evidence and by how strange the text was
+so far combine them, and a probability map refines their output.  The kinds of text are groups of frequent words that
+keep company, found in the corpus; the group that leads in the text so far is its kind.
 
 While a text is read, two more predictors learn from it alone: after two words that stood together before, one bit
 tells whether the word that followed then follows again, foretold by the run of such hits; and an escaped word may
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from .common import saved, small_batches, space_words
 
 HEAD = 1 << 17  # tokens with a code of their own; one that occurs once has none, so the escape is as likely as new words are
-BITS = (22, 22)  # log2 slots of the word contexts
+BITS = (21, 22)  # log2 slots of the word contexts
+KINDS, MARKERS = 8, 256  # kinds of text, frequent words that tell them
 SPELL_BITS = (18, 21, 21)  # of the spelling contexts
 PART = 1 << 16  # slots that are merged together
-FLUSH = 400_000  # token types a worker counts before it hands them on
-BLOCK_TOKENS = 150_000  # tokens of a block of texts, about
+BLOCK_TOKENS = 500_000  # tokens of a block of texts, about
 CHUNK = 1 << 14  # tokens worked on at once
 TABLE_TOKENS = 16_000_000  # tokens that one task counts, about
 TAIL = np.uint32(1 << 31)
@@ -122,20 +122,27 @@ class Code:
         for k, (live, node, bit) in enumerate(steps):
             self.node[self.start[live] + self.size[live] - 1 - k] = node
             self.bit[self.start[live] + self.size[live] - 1 - k] = bit
+        # Three levels of the tree, seven nodes, share a group of eight slots: what follows each other lies together.
+        depth = np.arange(len(self.node)) - np.repeat(self.start, self.size)
+        top = np.arange(len(self.node)) - depth % 3
+        one, two = self.bit[np.minimum(top, len(self.bit) - 1)], self.bit[np.minimum(top + 1, len(self.bit) - 1)]
+        place = np.where(depth % 3 == 0, 0, np.where(depth % 3 == 1, 1 + one, 3 + 2 * one + two)).astype(np.uint8)
         level = np.rint(np.clip(np.log((mass[:, 1] + 0.4) / (mass[:, 0] + 0.4)) / 3, -1, 1) * 4.5 + 4.5).astype(np.uint8)
-        self.key = _mix32(self.node * np.uint32(0x9E3779B1) + np.uint32(5))
-        self.told = level[self.node] * 2 + self.bit
+        self.key = _mix32(self.node[top] * np.uint32(0x9E3779B1) + np.uint32(5))
+        self.told = place * 32 + level[self.node] * 2 + self.bit
 
     def paths(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(bits of each symbol, key of each bit's node, that node's level and the bit, first bit of each symbol)."""
+        """(bits of each symbol, key of each bit's group; place in it, level of the node and the bit in one byte; first
+        bit of each symbol)."""
         n = self.size[symbols]
         ends = np.cumsum(n)
         path = np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(self.start[symbols] - (ends - n), n)
         return n, self.key[path], self.told[path], ends - n
 
 
-def _slots(key: np.ndarray, n: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    return ((np.repeat(key, n) ^ node) * np.uint32(0x846CA68B)) >> np.uint32(32 - bits)
+def _slots(key: np.ndarray, n: np.ndarray, group: np.ndarray, told: np.ndarray, bits: int) -> np.ndarray:
+    first = ((np.repeat(key, n) ^ group) * np.uint32(0x846CA68B)) >> np.uint32(32 - bits)
+    return first & np.uint32(~7 & 0xFFFFFFFF) | told >> np.uint8(5)
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -151,7 +158,7 @@ def _unpacked(x: bytes) -> np.ndarray:
 class Texts:
     """A block of texts, those of training first, as ids: of coded words, or TAIL and the place among the others."""
 
-    def __init__(self, row, known: dict[bytes, int], training_only: bool = False) -> None:
+    def __init__(self, row, known: dict[bytes, int], kind_of: np.ndarray, training_only: bool = False) -> None:
         self.size = np.frombuffer(row.size, np.int32)
         self.held = np.frombuffer(row.held, bool)
         self.trained = int(self.size[~self.held].sum())
@@ -170,17 +177,44 @@ class Texts:
         self.first = np.repeat(self.start, self.size)
         self.is_tail = self.ids >= TAIL
         self.symbol = np.where(self.is_tail, np.uint32(escape), self.ids)
-        back = np.full((2, n), start, np.uint32)
-        near = np.full((2, n), start, np.uint32)  # the same with other words told apart
+        place = np.arange(n)
+        before = np.full(n, start, np.uint64)
+        self.near = np.full((2, n), start, np.uint32)  # the two words before
         for k in (1, 2):
-            inside = np.flatnonzero(np.arange(n) - self.first >= k)
-            back[k - 1][inside], near[k - 1][inside] = self.symbol[inside - k], self.ids[inside - k]
-        self.key = [_mix32(back[0] * np.uint32(0x85EBCA6B) + np.uint32(1)), _mix32(back[1] * np.uint32(0xC2B2AE35) + np.uint32(77))]
-        self.near = near
+            inside = np.flatnonzero(place - self.first >= k)
+            self.near[k - 1][inside] = self.ids[inside - k]
+            if k == 1:
+                before[inside] = self.symbol[inside - 1]
         count = np.cumsum(self.is_tail) - self.is_tail
-        since = np.arange(n) - self.first
-        share = (count - count[self.first] + 0.4) / (since + 4) if n else np.empty(0)
-        self.strange = np.digitize(share, STRANGE).astype(np.int32) * (NODE_LEVELS * LEVELS**2)
+        share = (count - count[self.first] + 0.4) / (place - self.first + 4) if n else np.empty(0)
+        strange = np.digitize(share, STRANGE).astype(np.uint64)
+        kinds = np.where(self.symbol < MARKERS, kind_of[np.minimum(self.symbol, MARKERS - 1)], KINDS)
+        kind, most = np.full(n, KINDS, np.uint64), np.zeros(n, np.int32)
+        for k in range(KINDS):
+            told = (kinds == k).astype(np.int32)
+            told = np.cumsum(told, dtype=np.int32) - told
+            told -= told[self.first] if n else 0
+            kind[told > most] = k
+            most = np.maximum(most, told)
+        # What the code's bits depend on; equal ones are worked on once.
+        out = (place >= self.trained).astype(np.uint64)
+        key = ((out << np.uint64(6) | strange << np.uint64(4) | kind) << np.uint64(18) | before) << np.uint64(18) | self.symbol
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])[:n]
+        self.which = np.empty(n, np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        key = key[at]
+        self.times = np.diff(np.append(at, n))
+        self.unique = len(key)
+        self.seen_in_training = int(np.searchsorted(key, 1 << 42))
+        self.word = (key & np.uint64((1 << 18) - 1)).astype(np.int64)
+        self.strange = (key >> np.uint64(40) & np.uint64(3)).astype(np.int32) * np.int32(NODE_LEVELS * LEVELS**2)
+        self.key = [
+            _mix32((key >> np.uint64(36) & np.uint64(15)).astype(np.uint32) * np.uint32(0xC2B2AE35) + np.uint32(77)),
+            _mix32((key >> np.uint64(18) & np.uint64((1 << 18) - 1)).astype(np.uint32) * np.uint32(0x85EBCA6B) + np.uint32(1)),
+        ]
 
     def again(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(foretold, hit, run class): the text's two last words stood together before; the word after them then is the
@@ -215,16 +249,16 @@ class Texts:
         return at, seen, fresh - (fresh[first] if len(at) else 0)
 
     def chunks(self) -> Iterator[tuple[int, int]]:
-        """Tokens (from, to) worked on at once, all of training or all not."""
-        for i in range(0, self.trained, CHUNK):
-            yield i, min(i + CHUNK, self.trained)
-        for i in range(self.trained, len(self.ids), CHUNK):
-            yield i, min(i + CHUNK, len(self.ids))
+        """What is worked on at once (from, to), all of training or all not."""
+        for i in range(0, self.seen_in_training, CHUNK):
+            yield i, min(i + CHUNK, self.seen_in_training)
+        for i in range(self.seen_in_training, self.unique, CHUNK):
+            yield i, min(i + CHUNK, self.unique)
 
     def bits(self, code: Code, i: int, j: int):
-        """(bits of each token, node's level and bit, first bits, slots of both contexts) of the tokens i to j."""
-        n, node, told, first = code.paths(self.symbol[i:j])
-        return n, told, first, [_slots(k[i:j], n, node, b) for k, b in zip(self.key, BITS, strict=True)]
+        """(number of bits, node's level and bit, first bits, slots of both contexts)."""
+        n, node, told, first = code.paths(self.word[i:j])
+        return n, told, first, [_slots(k[i:j], n, node, told, b) for k, b in zip(self.key, BITS, strict=True)]
 
 
 def _pairs(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -253,7 +287,7 @@ def spelled(words: list[bytes], code: Code):
     n, node, told, first = code.paths(text)
     starts = np.cumsum(size) - size
     word = np.repeat(np.arange(len(words)), np.add.reduceat(n, starts))
-    return word, told & 1, first[starts], [_slots(k, n, node, b) for k, b in zip(keys, SPELL_BITS, strict=True)]
+    return word, told & 1, first[starts], [_slots(k, n, node, told, b) for k, b in zip(keys, SPELL_BITS, strict=True)]
 
 
 def _some(words: list[bytes], *more: np.ndarray, most: int = 50_000):
@@ -319,12 +353,12 @@ WORD_CELLS, SPELL_CELLS = 4 * NODE_LEVELS * LEVELS**2, LEVELS**3
 
 
 def word_cells(texts: Texts, code: Code, tables: list[np.ndarray], i: int, j: int):
-    """(cell and bit, first bits) of the tokens i to j."""
+    """(cell and bit, number of bits, first bits)."""
     n, told, first, slots = texts.bits(code, i, j)
-    level, bit = LEVEL[512 * (i >= texts.trained) :], told & np.uint8(1)
+    level, bit = LEVEL[512 * (i >= texts.seen_in_training) :], told & np.uint8(1)
     one, two = (level[t[s] * np.int32(2) + bit] for t, s in zip(tables, slots, strict=True))
-    cell = np.repeat(texts.strange[i:j], n) + (told >> np.uint8(1)) * np.int32(LEVELS**2) + one * np.int32(LEVELS) + two
-    return cell * 2 + bit, first
+    cell = np.repeat(texts.strange[i:j], n) + (told >> np.uint8(1) & np.uint8(15)) * np.int32(LEVELS**2) + one * np.int32(LEVELS) + two
+    return cell * 2 + bit, n, first
 
 
 def spell_cells(words: list[bytes], out: bool, code: Code, tables: list[np.ndarray]):
@@ -378,19 +412,13 @@ def token_counts(blocks: DataFrame) -> DataFrame:
     """(token, c) over the blocks' texts of training; the end mark is the empty token."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count: Counter = Counter()
         for batch in batches:
             for row in batch.itertuples():
                 trained = int(np.frombuffer(row.size, np.int32)[~np.frombuffer(row.held, bool)].sum())
                 n = np.bincount(_unpacked(row.ids)[:trained])
-                for w, c in zip(bytes(row.words).split(b" "), n.tolist(), strict=False):
-                    if c:
-                        count[w] += c
-            if len(count) > FLUSH:
-                yield pd.DataFrame({"token": list(count), "n": list(count.values())})
-                count.clear()
-        if count:
-            yield pd.DataFrame({"token": list(count), "n": list(count.values())})
+                words = bytes(row.words).split(b" ")[: len(n)]
+                some = pd.DataFrame({"token": words, "n": n})
+                yield some if n.all() else some[n > 0]
 
     parts = blocks.select("held", "size", "ids", "words").mapInPandas(run, "token binary, n long")
     return parts.groupBy("token").agg(F.sum("n").alias("c"))
@@ -441,17 +469,58 @@ def _summed(parts: DataFrame, *sizes: int) -> list[np.ndarray]:
 COUNTS = "context int, part int, counts binary"
 
 
+def company(blocks: DataFrame, known, tasks: int) -> np.ndarray:
+    """In how many training texts each two of the MARKERS most frequent words both stand."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros((MARKERS, MARKERS), np.int64)
+        for batch in batches:
+            for row in batch.itertuples():
+                size, held = np.frombuffer(row.size, np.int32), np.frombuffer(row.held, bool)
+                size = size[~held]
+                words = bytes(row.words).split(b" ")
+                found = np.fromiter(map(known.value.get, words, repeat(MARKERS)), np.int64, len(words))
+                ids = found[_unpacked(row.ids)[: int(size.sum())]]
+                text = np.repeat(np.arange(len(size)), size)
+                some = np.flatnonzero(ids < MARKERS)
+                for i in range(0, len(size), 4096):
+                    mine = some[(text[some] >= i) & (text[some] < i + 4096)]
+                    has = np.zeros((4096, MARKERS), np.float32)
+                    has[text[mine] - i, ids[mine]] = 1
+                    n += (has.T @ has).astype(np.int64)
+        yield from _parts([n.reshape(-1)])
+
+    parts = blocks.select("held", "size", "ids", "words").coalesce(tasks).mapInPandas(run, COUNTS)
+    return _summed(parts, MARKERS**2)[0].reshape(MARKERS, MARKERS)
+
+
+def kinds_of(company: np.ndarray) -> np.ndarray:
+    """KINDS groups of words by the texts that they share: spectral embedding, then k-means from far-off starts."""
+    often = np.sqrt(np.maximum(np.diag(company), 1))
+    _, vectors = np.linalg.eigh(company / np.outer(often, often))
+    x = vectors[:, -KINDS:]
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centres = [x[0]]
+    for _ in range(KINDS - 1):
+        centres.append(x[np.min([((x - c) ** 2).sum(1) for c in centres], axis=0).argmax()])
+    for _ in range(30):
+        near = ((x[:, None] - np.array(centres)[None]) ** 2).sum(2).argmin(1)
+        centres = [x[near == k].mean(0) if (near == k).any() else c for k, c in enumerate(centres)]
+    return near
+
+
 def word_tables(blocks: DataFrame, shared, tasks: int) -> list[np.ndarray]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, code = shared.value
+        known, kinds, code = shared.value
         tables = [np.zeros(2 << b, np.uint32) for b in BITS]
         for batch in batches:
             for row in batch.itertuples():
-                texts = Texts(row, known, training_only=True)
+                texts = Texts(row, known, kinds, training_only=True)
                 for i, j in texts.chunks():
-                    _, told, _, slots = texts.bits(code, i, j)
+                    n, told, _, slots = texts.bits(code, i, j)
+                    times = np.repeat(texts.times[i:j].astype(np.uint32), n)
                     for t, s in zip(tables, slots, strict=True):
-                        np.add.at(t, s.astype(np.int64) * 2 + (told & 1), np.uint32(1))
+                        np.add.at(t, s.astype(np.int64) * 2 + (told & 1), times)
         yield from _parts(tables)
 
     return _collected(blocks.select("held", "size", "ids", "words").coalesce(tasks).mapInPandas(run, COUNTS), BITS)
@@ -492,16 +561,16 @@ def word_seen(blocks: DataFrame, shared, tasks: int) -> list[np.ndarray]:
     sizes = WORD_CELLS * 2, (len(RUNS) + 1) * 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, code, tables = shared.value
+        known, kinds, code, tables = shared.value
         seen, runs = (np.zeros(n, np.int64) for n in sizes)
         for batch in batches:
             for row in batch.itertuples():
-                texts = Texts(row, known, training_only=True)
+                texts = Texts(row, known, kinds, training_only=True)
                 told, hit, run = texts.again()
                 runs += np.bincount(run[told] * 2 + hit[told], minlength=sizes[1])
                 for i, j in texts.chunks():
-                    cell, _ = word_cells(texts, code, tables, i, j)
-                    seen += np.bincount(cell, minlength=sizes[0])
+                    cell, n, _ = word_cells(texts, code, tables, i, j)
+                    np.add.at(seen, cell, np.repeat(texts.times[i:j], n))
         yield from _parts([seen, runs])
 
     return _summed(blocks.select("held", "size", "ids", "words").coalesce(tasks).mapInPandas(run, COUNTS), *sizes)
@@ -510,8 +579,8 @@ def word_seen(blocks: DataFrame, shared, tasks: int) -> list[np.ndarray]:
 class Model:
     """Everything that tells a probability: codes, states, mixtures, hits by run."""
 
-    def __init__(self, known, code, tables, mix, spell_code, spells, spell_mix, runs) -> None:
-        self.known, self.code, self.tables, self.mix = known, code, tables, mix
+    def __init__(self, known, kinds, code, tables, mix, spell_code, spells, spell_mix, runs) -> None:
+        self.known, self.kinds, self.code, self.tables, self.mix = known, kinds, code, tables, mix
         self.spell_code, self.spells, self.spell_mix = spell_code, spells, spell_mix
         p = (runs[:, 1] + 0.5) / (runs.sum(1) + 1)
         self.run = np.log10(np.stack([1 - p, p]))
@@ -526,10 +595,11 @@ class Model:
 
     def tokens(self, texts: Texts) -> np.ndarray:
         """log10 probability of every token."""
-        score = np.empty(len(texts.ids))
+        each = np.empty(texts.unique)
         for i, j in texts.chunks():
-            cell, first = word_cells(texts, self.code, self.tables, i, j)
-            score[i:j] = np.add.reduceat(self.mix[cell], first, dtype=np.float64)
+            cell, _, first = word_cells(texts, self.code, self.tables, i, j)
+            each[i:j] = np.add.reduceat(self.mix[cell], first, dtype=np.float64)
+        score = each[texts.which]
         at, seen, fresh = texts.cached()
         if len(at):
             first = np.searchsorted(at, texts.first[at])
@@ -578,18 +648,19 @@ def learned(docs: DataFrame):
     spell_code = Code(letters)
 
     tasks = 1 + n // TABLE_TOKENS
-    shared = share((known, code))
-    tables = word_tables(blocks, shared, tasks)
+    shared = share(known)
+    kinds = kinds_of(company(blocks, shared, tasks))
+    tables = word_tables(blocks, share((known, kinds, code)), tasks)
 
     def rare_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[[w not in shared.value[0] for w in batch["token"]]]
+            yield batch[[w not in shared.value for w in batch["token"]]]
 
     rare = saved(counts.mapInPandas(rare_only, "token binary, c long"), "rare")
     spells = spell_tables(rare, share(spell_code), tasks)
     spell_mix = spell_mixture(spell_seen(rare, share((spell_code, spells)), tasks))
-    cells, runs = word_seen(blocks, share((known, code, tables)), tasks)
-    return blocks, rare, head, n, v, Model(known, code, tables, word_mixture(cells), spell_code, spells, spell_mix, runs)
+    cells, runs = word_seen(blocks, share((known, kinds, code, tables)), tasks)
+    return blocks, rare, head, n, v, Model(known, kinds, code, tables, word_mixture(cells), spell_code, spells, spell_mix, runs)
 
 
 def lm_score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -618,7 +689,7 @@ def lm_score(docs: DataFrame, held_out: Column) -> DataFrame:
         model, logs, in_head = shared.value
         for batch in batches:
             for row in batch.itertuples():
-                texts = Texts(row, model.known)
+                texts = Texts(row, model.known, model.kinds)
                 sums = lambda x: np.add.reduceat(x, texts.start)
                 score = sums(model.tokens(texts))
                 hashed = np.array([xxhash.xxh64_intdigest(w, 42) for w in texts.tail], np.uint64).view(np.int64)
