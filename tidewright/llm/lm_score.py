@@ -40,7 +40,7 @@ BITS = (21, 22)  # log2 slots of the word contexts
 KINDS, MARKERS = 8, 256  # kinds of text, frequent words that tell them
 SPELL_BITS = (18, 21, 21)  # of the spelling contexts
 PART = 1 << 16  # slots that are merged together
-BLOCK_TOKENS = 500_000  # tokens of a block of texts, about
+BLOCK_TOKENS = 200_000  # tokens of a block of texts, about
 CHUNK = 1 << 14  # tokens worked on at once
 TABLE_TOKENS = 16_000_000  # tokens that one task counts, about
 TAIL = np.uint32(1 << 31)
