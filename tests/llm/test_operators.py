@@ -387,11 +387,10 @@ def test_lm_bits_are_a_distribution(spark):
     docs = table(spark, made(9, 40)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("held_out"))
     *_, model = lm_score.learned(docs)
     assert sum(2.0**-n for n in model.code.size) == pytest.approx(1)
-    words = [*model.known, b"?"]
-    n = len(words)
-    ids = np.array([[3, 1, x] for x in range(n)], np.uint32)
-    row = types.SimpleNamespace(ids=lm_score._packed(ids.reshape(-1)), size=np.full(n, 3, np.int32).tobytes(), held=np.ones(n, bool).tobytes(), words=b" ".join(words))
-    texts = lm_score.Texts(row, model.known, model.kinds)
+    n = len(model.known) + 1
+    ids = np.array([[3, 1, x if x < n - 1 else lm_score.TAIL] for x in range(n)], np.uint32)
+    row = types.SimpleNamespace(ids=ids.tobytes(), size=np.full(n, 3, np.int32).tobytes(), held=np.ones(n, bool).tobytes(), tail=b"?")
+    texts = lm_score.Texts(row, n - 1, model.kinds)
     each = np.empty(texts.unique)
     for i, j in texts.chunks():
         cell, _, first = lm_score.word_cells(texts, model.code, model.tables, i, j)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, space_words
+from .common import discard, saved, small_batches, space_words
 
 HEAD = 1 << 17  # tokens with a code of their own; one that occurs once has none, so the escape is as likely as new words are
 BITS = (21, 22)  # log2 slots of the word contexts
@@ -158,20 +158,14 @@ def _unpacked(x: bytes) -> np.ndarray:
 class Texts:
     """A block of texts, those of training first, as ids: of coded words, or TAIL and the place among the others."""
 
-    def __init__(self, row, known: dict[bytes, int], kind_of: np.ndarray, training_only: bool = False) -> None:
+    def __init__(self, row, escape: int, kind_of: np.ndarray, training_only: bool = False) -> None:
         self.size = np.frombuffer(row.size, np.int32)
         self.held = np.frombuffer(row.held, bool)
         self.trained = int(self.size[~self.held].sum())
-        ids = _unpacked(row.ids)
+        self.ids = np.frombuffer(row.ids, np.uint32)
         if training_only:
-            ids, self.size, self.held = ids[: self.trained], self.size[~self.held], self.held[~self.held]
-        words = bytes(row.words).split(b" ")
-        found = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
-        other = np.flatnonzero(found < 0)
-        self.tail = [words[k] for k in other.tolist()]
-        found[other] = np.arange(len(other)) + int(TAIL)
-        self.ids = found.astype(np.uint32)[ids]
-        escape = len(known)
+            self.ids, self.size, self.held = self.ids[: self.trained], self.size[~self.held], self.held[~self.held]
+        self.tail = bytes(row.tail).split(b" ") if row.tail else []
         n, start = len(self.ids), escape + 1
         self.start = (np.cumsum(self.size) - self.size).astype(np.int64)
         self.first = np.repeat(self.start, self.size)
@@ -199,8 +193,13 @@ class Texts:
         # What the code's bits depend on; equal ones are worked on once.
         out = (place >= self.trained).astype(np.uint64)
         key = ((out << np.uint64(6) | strange << np.uint64(4) | kind) << np.uint64(18) | before) << np.uint64(18) | self.symbol
-        order = np.argsort(key)
-        key = key[order]
+        if n < 1 << 20:
+            key = np.sort(key << np.uint64(20) | place.astype(np.uint64))
+            order = (key & np.uint64((1 << 20) - 1)).astype(np.int64)
+            key >>= np.uint64(20)
+        else:
+            order = np.argsort(key)
+            key = key[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])[:n]
         self.which = np.empty(n, np.int64)
         self.which[order] = np.cumsum(new) - 1
@@ -248,6 +247,14 @@ class Texts:
         first = np.searchsorted(at, self.first[at]) if len(at) else at
         return at, seen, fresh - (fresh[first] if len(at) else 0)
 
+    def contexts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, keys, times) of either context, each pair of a word and a key once or a few times."""
+        for key in self.key:
+            pair = key.astype(np.uint64) << np.uint64(18) | self.word.astype(np.uint64)
+            order = np.argsort(pair)
+            at = np.flatnonzero(np.concatenate([[True], np.diff(pair[order]) != 0])[: len(order)])
+            yield self.word[order[at]], key[order[at]], np.add.reduceat(self.times[order], at) if len(at) else self.times
+
     def chunks(self) -> Iterator[tuple[int, int]]:
         """What is worked on at once (from, to), all of training or all not."""
         for i in range(0, self.seen_in_training, CHUNK):
@@ -469,28 +476,42 @@ def _summed(parts: DataFrame, *sizes: int) -> list[np.ndarray]:
 COUNTS = "context int, part int, counts binary"
 
 
-def company(blocks: DataFrame, known, tasks: int) -> np.ndarray:
-    """In how many training texts each two of the MARKERS most frequent words both stand."""
+CODED = "doc binary, null binary, held binary, size binary, length binary, ids binary, tail binary, company binary"
+
+
+def coded_blocks(blocks: DataFrame, known) -> DataFrame:
+    """The blocks with ids of coded words, or TAIL and the place among the block's other words; one more row of a task
+    has, in ``company``, in how many of its training texts each two of the MARKERS most frequent words both stand."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros((MARKERS, MARKERS), np.int64)
         for batch in batches:
             for row in batch.itertuples():
-                size, held = np.frombuffer(row.size, np.int32), np.frombuffer(row.held, bool)
-                size = size[~held]
                 words = bytes(row.words).split(b" ")
-                found = np.fromiter(map(known.value.get, words, repeat(MARKERS)), np.int64, len(words))
-                ids = found[_unpacked(row.ids)[: int(size.sum())]]
+                found = np.fromiter(map(known.value.get, words, repeat(-1)), np.int64, len(words))
+                other = np.flatnonzero(found < 0)
+                found[other] = np.arange(len(other)) + int(TAIL)
+                ids = found.astype(np.uint32)[_unpacked(row.ids)]
+                tail = b" ".join([words[k] for k in other.tolist()])
+                yield pd.DataFrame([(row.doc, row.null, row.held, row.size, row.length, ids.tobytes(), tail, None)], columns=columns)
+                size = np.frombuffer(row.size, np.int32)[~np.frombuffer(row.held, bool)]
                 text = np.repeat(np.arange(len(size)), size)
-                some = np.flatnonzero(ids < MARKERS)
+                some = np.flatnonzero(ids[: len(text)] < MARKERS)
                 for i in range(0, len(size), 4096):
                     mine = some[(text[some] >= i) & (text[some] < i + 4096)]
                     has = np.zeros((4096, MARKERS), np.float32)
                     has[text[mine] - i, ids[mine]] = 1
                     n += (has.T @ has).astype(np.int64)
-        yield from _parts([n.reshape(-1)])
+        if n.any():
+            yield pd.DataFrame([(None,) * 7 + (_packed(n.reshape(-1)),)], columns=columns)
 
-    parts = blocks.select("held", "size", "ids", "words").coalesce(tasks).mapInPandas(run, COUNTS)
+    columns = [c.split()[0] for c in CODED.split(", ")]
+    return blocks.mapInPandas(run, CODED)
+
+
+def company(coded: DataFrame) -> np.ndarray:
+    """In how many training texts each two of the MARKERS most frequent words both stand."""
+    parts = coded.filter("company is not null").select(F.lit(0).alias("context"), F.lit(0).alias("part"), F.col("company").alias("counts"))
     return _summed(parts, MARKERS**2)[0].reshape(MARKERS, MARKERS)
 
 
@@ -511,19 +532,19 @@ def kinds_of(company: np.ndarray) -> np.ndarray:
 
 def word_tables(blocks: DataFrame, shared, tasks: int) -> list[np.ndarray]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, kinds, code = shared.value
+        escape, kinds, code = shared.value
         tables = [np.zeros(2 << b, np.uint32) for b in BITS]
         for batch in batches:
             for row in batch.itertuples():
-                texts = Texts(row, known, kinds, training_only=True)
-                for i, j in texts.chunks():
-                    n, told, _, slots = texts.bits(code, i, j)
-                    times = np.repeat(texts.times[i:j].astype(np.uint32), n)
-                    for t, s in zip(tables, slots, strict=True):
-                        np.add.at(t, s.astype(np.int64) * 2 + (told & 1), times)
+                texts = Texts(row, escape, kinds, training_only=True)
+                for t, b, (word, key, times) in zip(tables, BITS, texts.contexts(), strict=True):
+                    for i in range(0, len(word), CHUNK):
+                        n, group, told, _ = code.paths(word[i : i + CHUNK])
+                        slots = _slots(key[i : i + CHUNK], n, group, told, b)
+                        np.add.at(t, slots.astype(np.int64) * 2 + (told & 1), np.repeat(times[i : i + CHUNK].astype(np.uint32), n))
         yield from _parts(tables)
 
-    return _collected(blocks.select("held", "size", "ids", "words").coalesce(tasks).mapInPandas(run, COUNTS), BITS)
+    return _collected(blocks.select("held", "size", "ids", F.lit(None).cast("binary").alias("tail")).coalesce(tasks).mapInPandas(run, COUNTS), BITS)
 
 
 def spell_tables(rare: DataFrame, shared, tasks: int) -> list[np.ndarray]:
@@ -561,11 +582,11 @@ def word_seen(blocks: DataFrame, shared, tasks: int) -> list[np.ndarray]:
     sizes = WORD_CELLS * 2, (len(RUNS) + 1) * 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, kinds, code, tables = shared.value
+        escape, kinds, code, tables = shared.value
         seen, runs = (np.zeros(n, np.int64) for n in sizes)
         for batch in batches:
             for row in batch.itertuples():
-                texts = Texts(row, known, kinds, training_only=True)
+                texts = Texts(row, escape, kinds, training_only=True)
                 told, hit, run = texts.again()
                 runs += np.bincount(run[told] * 2 + hit[told], minlength=sizes[1])
                 for i, j in texts.chunks():
@@ -573,7 +594,7 @@ def word_seen(blocks: DataFrame, shared, tasks: int) -> list[np.ndarray]:
                     np.add.at(seen, cell, np.repeat(texts.times[i:j], n))
         yield from _parts([seen, runs])
 
-    return _summed(blocks.select("held", "size", "ids", "words").coalesce(tasks).mapInPandas(run, COUNTS), *sizes)
+    return _summed(blocks.select("held", "size", "ids", F.lit(None).cast("binary").alias("tail")).coalesce(tasks).mapInPandas(run, COUNTS), *sizes)
 
 
 class Model:
@@ -649,8 +670,11 @@ def learned(docs: DataFrame):
 
     tasks = 1 + n // TABLE_TOKENS
     shared = share(known)
-    kinds = kinds_of(company(blocks, shared, tasks))
-    tables = word_tables(blocks, share((known, kinds, code)), tasks)
+    plain, blocks = blocks, saved(coded_blocks(blocks, shared), "coded", "zstd")
+    discard(plain)
+    kinds = kinds_of(company(blocks))
+    blocks = blocks.filter("company is null")
+    tables = word_tables(blocks, share((len(words), kinds, code)), tasks)
 
     def rare_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -659,7 +683,7 @@ def learned(docs: DataFrame):
     rare = saved(counts.mapInPandas(rare_only, "token binary, c long"), "rare")
     spells = spell_tables(rare, share(spell_code), tasks)
     spell_mix = spell_mixture(spell_seen(rare, share((spell_code, spells)), tasks))
-    cells, runs = word_seen(blocks, share((known, kinds, code, tables)), tasks)
+    cells, runs = word_seen(blocks, share((len(words), kinds, code, tables)), tasks)
     return blocks, rare, head, n, v, Model(known, kinds, code, tables, word_mixture(cells), spell_code, spells, spell_mix, runs)
 
 
@@ -689,7 +713,7 @@ def lm_score(docs: DataFrame, held_out: Column) -> DataFrame:
         model, logs, in_head = shared.value
         for batch in batches:
             for row in batch.itertuples():
-                texts = Texts(row, model.known, model.kinds)
+                texts = Texts(row, len(model.known), model.kinds)
                 sums = lambda x: np.add.reduceat(x, texts.start)
                 score = sums(model.tokens(texts))
                 hashed = np.array([xxhash.xxh64_intdigest(w, 42) for w in texts.tail], np.uint64).view(np.int64)
