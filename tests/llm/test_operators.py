@@ -107,6 +107,16 @@ def test_empty_tables(spark):
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_near_duplicates_with_repeated_and_missing_ids(spark):
+    rng = random.Random(3)
+    b, c = ([f"{k}{rng.randrange(10**6)}" for _ in range(200)] for k in "bc")
+    rows = [(5, b), (5, c), (6, b), (7, [*c, "more"]), (8, [*b, "more"]), (None, b), (None, ["alone"] * 3), (None, ["alone"] * 3), (9, [])]
+    docs = table(spark, [(i, " ".join(w)) for i, w in rows])
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect()), key=str)
+    want = [(5, 196, 5, True), (5, 196, 5, True), (6, 196, 5, False), (7, 197, 5, False), (8, 197, 5, False), (9, 0, 9, True), (None, 1, None, True), (None, 1, None, True), (None, 196, 5, False)]
+    assert got == sorted(want, key=str)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40)], "a long, b long")
     got = dict(components(edges).collect())

@@ -122,7 +122,8 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sets = [shingle_hashes(t) for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [s.tobytes() for s in sets]})
+        digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        yield pd.DataFrame({"digest": digest, "shingles": [s.tobytes() for s in sets]})
 
 
 def _estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,24 +163,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets.  Null, empty and
-    blank texts have no set, link with nothing and are kept.  Other columns are ignored.  doc_id is unique; where
-    a doc_id repeats, its rows share the least component of their texts.
+    blank texts have no set, link with nothing and are kept.  Other columns are ignored.  Every row is judged by its own
+    text, also where a doc_id repeats; component_id is the least doc_id of the rows reachable.  A row without a doc_id is
+    kept only where no row of its component has one; component_id is then null.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = saved(docs.mapInPandas(_sketches, SKETCH), "sketch")
     group = sketch.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    group = saved(group, "classes")
-    one = sketch.join(group.select(F.col("rep").alias("doc_id"), F.col("digest")), ["doc_id", "digest"], "left_semi")
-    one = one.dropDuplicates(["doc_id"])
-    keyed = one.select("doc_id", F.explode("bands").alias("key"))
+    group = saved(group.withColumn("id", F.monotonically_increasing_id()), "classes")
+    # From here on a distinct set is a vertex; doc_id is its number.
+    its = group.select(F.col("digest").alias("_digest"), "rep", "id")
+    one = sketch.join(its, F.col("digest").eqNullSafe(F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    one = one.dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), "rep", "n_shingles", "bands", "registers")
+    keyed = one.select("doc_id", "rep", F.explode("bands").alias("key"))
     lead = keyed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead < last")
     bucket = saved(keyed.join(lead.select("key", "lead"), "key"), "buckets")
-    ids = bucket.select("doc_id").distinct()
-    regs = one.join(ids, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "registers")
+    ids = bucket.select("doc_id", "rep").distinct()
+    bucket = bucket.drop("rep")
+    regs = one.join(ids.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "registers")
     regs = saved(regs, "registers")
-    sets = saved(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(_sets, "doc_id long, shingles binary"), "sets")
+    wanted = ids.select(F.col("rep").alias("_id")).distinct()
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = texts.mapInPandas(_sets, "digest binary, shingles binary").join(group.select("digest", "id"), "digest")
+    sets = saved(sets.dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), "shingles"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = regs.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
@@ -232,11 +240,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     pairs = pairs.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
     comp = components(links.union(confirmed(pairs)))
-    return (
-        sketch.select("doc_id", "n_shingles", "digest")
-        .join(group, "digest", "left")
-        .withColumn("rep", F.coalesce("rep", "doc_id"))
-        .join(comp.toDF("rep", "comp"), "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    part = group.join(comp.toDF("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    least = part.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    found = part.join(least, "comp").select("digest", "component_id")
+    rows = sketch.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     )
