@@ -421,13 +421,44 @@ def test_tool_calls(spark):
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = chat_format.format_chats(df, {"add": {"x": ("integer", True), "y": ("integer", False)}}, pairs=False).collect()
-    by = {r["call_id"]: r for r in got if r["call_id"]}
+    by = {r["call_id"]: r for r in sorted(got, key=lambda r: r["kind"], reverse=True) if r["call_id"]}
     assert [by[k]["status"] for k in "abcdz"] == ["invalid", "ok", "cycle", "cycle", "orphan"]
     assert by["a"]["pos"] < by["b"]["pos"] and by["b"]["level"] == 1
     assert by["b"]["json"] == '{"arguments":{"x":1,"y":2},"id":"b","name":"add","result":"3","type":"tool_call"}'
     assert sum(r["kind"] == "message" for r in got) == 5
     pairs = chat_format.format_chats(df).collect()
-    assert len(pairs) == 1 + 4 + 1 + 1 + 1 + 1
+    assert len(pairs) == 1 + 4 + 1 + 1 + 1 + 1 + 1  # the later result of b is told too
+
+
+def brute_links(calls, results):
+    """(call, result) pairs and lone results of one call_id, first come, first served."""
+    open_, pairs, lone = [], [], []
+    for turn, kind, text in sorted([(t, 0, a) for t, a in set(calls)] + [(t, 1, c) for t, c in results]):
+        if kind == 0:
+            open_.append((turn, text))
+        elif open_:
+            pairs.append((open_.pop(0), (turn, text)))
+        else:
+            lone.append((turn, text))
+    return pairs, lone, open_
+
+
+def test_calls_meet_results_as_by_brute_force(spark):
+    rng = random.Random(5)
+    want, calls, results = [], [], []
+    for conv in range(40):
+        for name in "ab":
+            c = [(rng.randrange(8), json.dumps({"x": rng.randrange(3)})) for _ in range(rng.randrange(4))]
+            r = [(rng.randrange(8), f"r{rng.randrange(5)}") for _ in range(rng.randrange(4))]
+            calls += [(conv, t, name, "add", a, None) for t, a in c]
+            results += [(conv, t, name, x) for t, x in r]
+            pairs, lone, open_ = brute_links(c, r)
+            want += [(conv, name, "ok", t, u) for (t, _), (u, _) in pairs] + [(conv, name, "orphan", t, t) for t, _ in lone] + [(conv, name, "unanswered", t, None) for t, _ in open_]
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    c = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    r = spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string")
+    got = [(x["conv_id"], x["call_id"], x["status"], x["turn"], x["result_turn"]) for x in chat_format.link_calls(none, c, r, {"add": {"x": ("integer", True)}}).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_words_split():

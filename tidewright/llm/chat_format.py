@@ -63,33 +63,53 @@ def valid_arguments(schemas: Schemas) -> Column:
     return F.coalesce(F.when(F.col("_args").isNull(), F.lit(False)).otherwise(fits), F.lit(False))
 
 
+def _paired(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Calls and results with ``k``: the k-th call of a call_id and the result that answers it share it, first come,
+    first served; a result that finds no call open before it has none.  Repeated equal calls are one."""
+    loose = F.concat(F.lit("\x00"), F.expr("uuid()"))
+    one = calls.distinct().select("conv_id", F.coalesce("call_id", loose).alias("call_id"), "turn", F.lit(False).alias("is_result"), "name", "arguments", "depends_on")
+    rows = one.unionByName(results.withColumn("is_result", F.lit(True)), allowMissingColumns=True)
+    rows = rows.withColumn("_lone", F.when(F.col("conv_id").isNull(), F.expr("uuid()")))
+    key = Window.partitionBy("conv_id", "_lone", "call_id").orderBy("turn", "is_result", "name", "arguments", F.to_json("depends_on"), "content")
+    so_far = key.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_c", F.sum((~F.col("is_result")).cast("int")).over(so_far)).withColumn("_r", F.sum(F.col("is_result").cast("int")).over(so_far))
+    rows = rows.withColumn("_over", F.greatest(F.lit(0), F.max(F.col("_r") - F.col("_c")).over(so_far)))
+    early = F.col("_over") > F.lag("_over", 1, 0).over(key)
+    k = F.when(~F.col("is_result"), F.col("_c")).when(~early, F.col("_r") - F.col("_over"))
+    return rows.withColumn("k", k).drop("_c", "_r", "_over", "_lone")
+
+
 def _ordered(calls: DataFrame) -> DataFrame:
     """Adds ``level`` and ``at``: calls in rounds, each after all it depends on; null level in a cycle or after one.
 
     at is the turn before which nothing of it can stand: the latest of its own and its dependencies' turns.
-    Dependencies on unknown calls are ignored.
+    Of a call_id used more than once the last call up to the own turn is meant, else the first.  Dependencies on
+    unknown calls are ignored.
     """
-    edge = calls.select("conv_id", "call_id", F.explode("depends_on").alias("needs")).filter("needs <> call_id").distinct()
-    loops = calls.filter(F.array_contains("depends_on", F.col("call_id"))).select("conv_id", "call_id").distinct()
-    edge = edge.join(calls.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi")
+    ids = ["conv_id", "call_id", "k"]
+    edge = calls.select(*ids, "turn", F.explode("depends_on").alias("needs")).filter("needs <> call_id").distinct()
+    loops = calls.filter(F.array_contains("depends_on", F.col("call_id"))).select(*ids).distinct()
+    there = calls.select("conv_id", F.col("call_id").alias("needs"), F.col("k").alias("nk"), F.col("turn").alias("nt"))
+    before = F.max(F.when(F.col("nt") <= F.col("turn"), F.col("nk")))
+    edge = edge.join(there, ["conv_id", "needs"]).groupBy(*ids, "needs").agg(F.coalesce(before, F.lit(1)).alias("nk"))
     if edge.isEmpty() and loops.isEmpty():
         return calls.withColumn("level", F.lit(0)).withColumn("at", F.col("turn"))
     edge = saved(edge, "needs")
-    waiting = edge.select("conv_id", "call_id").union(loops).distinct()
-    done = saved(calls.join(waiting, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"), F.col("turn").alias("at")), "ordered")
-    left = saved(calls.join(waiting, ["conv_id", "call_id"], "left_semi").join(loops, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", "turn"), "waiting")
+    waiting = edge.select(*ids).union(loops).distinct()
+    done = saved(calls.join(waiting, ids, "left_anti").select(*ids, F.lit(0).alias("level"), F.col("turn").alias("at")), "ordered")
+    left = saved(calls.join(waiting, ids, "left_semi").join(loops, ids, "left_anti").select(*ids, "turn"), "waiting")
     level = 0
     while True:
         level += 1
-        met = edge.join(done.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left")
-        ready = met.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.count("at").alias("have"), F.max("at").alias("last")).filter("n = have")
-        new = left.join(ready, ["conv_id", "call_id"]).select("conv_id", "call_id", F.lit(level).alias("level"), F.greatest("turn", "last").alias("at"))
+        met = edge.join(done.select("conv_id", F.col("call_id").alias("needs"), F.col("k").alias("nk"), "at"), ["conv_id", "needs", "nk"], "left")
+        ready = met.groupBy(*ids).agg(F.count(F.lit(1)).alias("n"), F.count("at").alias("have"), F.max("at").alias("last")).filter("n = have")
+        new = left.join(ready, ids).select(*ids, F.lit(level).alias("level"), F.greatest("turn", "last").alias("at"))
         new = saved(new, "ordered")
         if new.isEmpty():
             break
         done = saved(done.union(new), "ordered")
-        left = saved(left.join(new, ["conv_id", "call_id"], "left_anti"), "waiting")
-    out = calls.join(done, ["conv_id", "call_id"], "left")
+        left = saved(left.join(new, ids, "left_anti"), "waiting")
+    out = calls.join(done, ids, "left")
     return out.withColumn("at", F.coalesce("at", "turn"))
 
 
@@ -97,20 +117,19 @@ def link_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, schema
     """Rows conv_id, pos, turn, kind (message, call, orphan), call_id, name, level, valid, status, result_turn, json.
 
     ``messages(conv_id, turn, role, text)`` are the plain ones; ``calls(conv_id, turn, call_id, name, arguments,
-    depends_on)`` meet ``results(conv_id, turn, call_id, content)`` of their conversation by call_id.  A repeated
-    call_id keeps its earliest call, an earliest result wins (ties: least text); later ones are dropped as the same
-    event sent again.  status: ok, invalid (arguments), unanswered, cycle, or orphan for a result without a call.
+    depends_on)`` meet ``results(conv_id, turn, call_id, content)`` of their conversation by call_id, first come, first
+    served; a result never answers a later call.  Only calls equal in all columns are one.  status: ok, invalid
+    (arguments), unanswered, cycle, or orphan for a result without an open call before it.
     pos numbers a conversation's rows from 0: by turn, calls after all they depend on, each with its result.
-    json has its keys in alphabetical order and no blanks; null fields are left out.  Rows with a null conv_id
-    form one conversation; repeated messages stay; calls with a null call_id are never linked and stay.
+    json has its keys in alphabetical order and no blanks; null fields are left out.  A row with a null conv_id is a
+    conversation of its own; repeated messages stay; calls with a null call_id are never linked and stay.
     """
-    keyed = calls.withColumn("call_id", F.coalesce("call_id", F.concat(F.lit("\x00"), F.expr("uuid()"))))
-    keyed = keyed.withColumn("depends_on", F.coalesce("depends_on", F.array().cast("array<string>")))
-    first = F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("m")
-    unique = saved(keyed.groupBy("conv_id", "call_id").agg(first).select("conv_id", "call_id", "m.*"), "calls")
-    answer = results.groupBy("conv_id", "call_id").agg(F.min(F.struct(F.col("turn"), F.col("content"))).alias("r"))
+    events = saved(_paired(calls.withColumn("depends_on", F.coalesce("depends_on", F.array().cast("array<string>"))), results), "events")
+    unique = events.filter("not is_result").select("conv_id", "call_id", "k", "turn", "name", "arguments", "depends_on")
+    told = events.filter("is_result").select("conv_id", "call_id", "k", F.struct("turn", "content").alias("r"))
     placed = _ordered(unique).withColumn("_there", F.lit(True))
-    both = placed.hint("shuffle_hash").join(answer, ["conv_id", "call_id"], "full_outer")
+    both = placed.join(told.filter("k is not null"), ["conv_id", "call_id", "k"], "left")
+    both = both.unionByName(told.filter("k is null"), allowMissingColumns=True)
     both = both.withColumn("_args", F.try_parse_json("arguments"))
     shown = both.select(
         "conv_id",
@@ -151,11 +170,12 @@ def link_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, schema
     )
     rows = plain.unionByName(shown.select(plain.columns))
     rows = rows.withColumn("block", F.floor(F.coalesce("at", F.lit(-1)) / F.lit(BLOCK)))
-    rows = saved(rows, "rows")
-    order = Window.partitionBy("conv_id", "block").orderBy(F.col("at").asc_nulls_first(), F.col("level").asc_nulls_last(), "kind", "call_id", "json")
+    rows = saved(rows.withColumn("lone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())), "rows")
+    order = Window.partitionBy("conv_id", "lone", "block").orderBy(F.col("at").asc_nulls_first(), F.col("level").asc_nulls_last(), "kind", "call_id", "json")
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    start = rows.groupBy("conv_id", "block").count().select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.coalesce(F.sum("count").over(before.partitionBy("conv_id")), F.lit(0)).alias("start"))
-    out = rows.withColumn("n", F.row_number().over(order)).join(start, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
+    start = rows.filter("conv_id is not null").groupBy("conv_id", "block").count()
+    start = start.select("conv_id", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    out = rows.withColumn("n", F.row_number().over(order)).join(start, ["conv_id", "block"], "left").withColumn("start", F.coalesce("start", F.lit(0)))
     return out.select("conv_id", (F.col("start") + F.col("n") - 1).cast("long").alias("pos"), "turn", "kind", "call_id", "name", "level", "valid", "status", "result_turn", "json")
 
 
