@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import stats, text
 from tidewright.operators import evidence, graph, raster, series, spatial
-from tidewright.plans import models, scoring  # noqa: F401  both add to the catalogue
+from tidewright.plans import decisions, evaluation, intake, models, scoring, terrain  # noqa: F401  all add to the catalogue
 from tidewright.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

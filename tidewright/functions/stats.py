@@ -105,3 +105,39 @@ def recall_at(df: DataFrame, score: str, label: str, share: float) -> DataFrame:
     take = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(share)))
     inside = F.least(F.greatest(take - (F.col("seen") - F.col("c")), F.lit(0)), F.col("c"))
     return r.crossJoin(F.broadcast(n)).agg((F.sum(F.col("p") * inside / F.col("c").cast("double")) / F.first("pos")).alias("recall"))
+
+
+def group_metrics(df: DataFrame, group: str, score: str, label: str, share: float = 0.1) -> DataFrame:
+    """By group: pos, n, auc, ap, recall at the top ``share`` with ties in proportion, lift.  Rows collapse to distinct
+    scores first; running totals go over buckets of them."""
+    by = df.groupBy(group, score).agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("c"))
+    by = by.withColumn("z", F.col("c") - F.col("p"))
+    up = running(by, score, {"zc": "z", "cc": "c", "pc": "p"}, (group,))
+    total = by.groupBy(group).agg(F.sum("p").alias("pos"), F.sum("z").alias("neg"), F.sum("c").alias("n"))
+    x = up.join(F.broadcast(total), group)
+    tp, seen = F.col("pos") - F.col("pc") + F.col("p"), F.col("n") - F.col("cc") + F.col("c")
+    below = F.col("zc") - F.col("z") / F.lit(2.0)
+    inside = F.least(F.greatest(share * F.col("n") - (seen - F.col("c")), F.lit(0.0)), F.col("c").cast("double"))
+    out = x.groupBy(group).agg(
+        F.first("pos").alias("pos"), F.first("n").alias("n"),
+        F.try_divide(F.sum(F.col("p") * below), (F.first("pos") * F.first("neg")).cast("double")).alias("auc"),
+        F.try_divide(F.sum(F.col("p") * tp / seen.cast("double")), F.first("pos").cast("double")).alias("ap"),
+        F.try_divide(F.sum(F.col("p") * inside / F.col("c")), F.first("pos").cast("double")).alias("recall"),
+    )
+    return out.withColumn("lift", F.try_divide(F.col("recall"), F.col("pos") / F.col("n").cast("double")))
+
+
+def feature_audit(df: DataFrame) -> DataFrame:
+    """``df(dim, v, y)``, long: dim, auc in its better direction, direction, recall in the top tenth (ties in proportion)."""
+    by = df.filter("v is not null").groupBy("dim", "v").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("c"))
+    by = by.withColumn("z", F.col("c") - F.col("p"))
+    up = running(by, "v", {"zc": "z", "cc": "c"}, ("dim",))
+    x = up.join(F.broadcast(by.groupBy("dim").agg(F.sum("c").alias("n"))), "dim")
+    take = F.ceil(0.1 * F.col("n"))
+    share = lambda before: F.sum(F.col("p") * F.least(F.greatest(take - before, F.lit(0)), F.col("c")) / F.col("c").cast("double")) / F.sum("p")
+    m = x.groupBy("dim").agg(
+        (F.sum(F.col("p") * (F.col("zc") - F.col("z") / F.lit(2.0))) / (F.sum("p") * F.sum("z"))).alias("a"),
+        share(F.col("n") - F.col("cc")).alias("hi"), share(F.col("cc") - F.col("c")).alias("lo"),
+    )
+    high = F.col("a") >= 0.5
+    return m.select("dim", F.greatest("a", 1 - F.col("a")).alias("auc"), F.when(high, "high").otherwise("low").alias("direction"), F.when(high, F.col("hi")).otherwise(F.col("lo")).alias("recall"))

@@ -16,6 +16,12 @@ def deduplicate(df: DataFrame, minutes: int = 30) -> DataFrame:
     return rows.select("user_id", "route_id", F.explode(step).alias("ts"))
 
 
+def kept(df: DataFrame, tie: str, minutes: int = 30) -> DataFrame:
+    """The whole rows that ``deduplicate`` keeps; of equal times the one with the least ``tie``."""
+    first = df.groupBy("user_id", "route_id", "ts").agg(F.min(tie).alias(tie))
+    return df.join(deduplicate(df, minutes), ["user_id", "route_id", "ts"], "left_semi").join(first, ["user_id", "route_id", "ts", tie], "left_semi")
+
+
 def log_odds(df: DataFrame, at: str) -> DataFrame:
     """Per route: decayed sum of log factors of reports not after ``at`` (flooded x3, official x10, dry /3)."""
     age = (F.unix_micros(F.lit(at).cast("timestamp_ntz").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / F.lit(6e7)

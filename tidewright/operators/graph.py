@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
-
-
-def _staged(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.shared import staged
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -22,19 +15,16 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     grows with the logarithm of a chain's length.  A vertex without edges is its own component; edges of unknown
     vertices, loops and nulls have no effect.
     """
-    base = f"{shared_dir(vertices.sparkSession).rstrip('/')}/components-{uuid.uuid4().hex}"
     known = vertices.select("id").filter("id is not null").distinct()
     there = lambda c: known.select(F.col("id").alias(c))
     links = edges.filter("a <> b").select("a", "b").join(there("a"), "a", "left_semi").join(there("b"), "b", "left_semi")
-    both = _staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{base}/edges")
-    label = _staged(known.withColumn("comp", F.col("id")), f"{base}/0")
-    turn = 0
+    both = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    label = staged(known.withColumn("comp", F.col("id")), "labels")
     while True:
-        turn += 1
         around = both.join(label.toDF("b", "seen"), "b").groupBy(F.col("a").alias("id")).agg(F.min("seen").alias("seen"))
         lower = label.join(around, "id", "left").select("id", F.least("comp", "seen").alias("comp"), F.col("comp").alias("was"))
         jump = label.toDF("comp", "far")
-        new = _staged(lower.join(jump, "comp", "left").select("id", F.least("comp", "far").alias("comp"), "was"), f"{base}/{turn}")
+        new = staged(lower.join(jump, "comp", "left").select("id", F.least("comp", "far").alias("comp"), "was"), "labels")
         label = new.select("id", "comp")
         if new.filter("comp <> was").isEmpty():
             return label

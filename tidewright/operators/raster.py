@@ -7,6 +7,7 @@ import heapq
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def box_mean(grid: DataFrame, reach: int) -> DataFrame:
@@ -59,3 +60,59 @@ def flow_accumulation(z: np.ndarray) -> np.ndarray:
         if to:
             acc[to] += acc[r, c]
     return acc
+
+
+def focal(grids: DataFrame, reach: int) -> DataFrame:
+    """``grids(grid, r, c, v)`` with mean and least value over the square around every cell."""
+    step = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+    down = grids.withColumn("_d", step).groupBy("grid", (F.col("r") + F.col("_d")).alias("r"), "c").agg(F.sum("v").alias("s"), F.count("v").alias("n"), F.min("v").alias("m"))
+    box = down.withColumn("_d", step).groupBy("grid", "r", (F.col("c") + F.col("_d")).alias("c")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.min("m").alias("least"))
+    return grids.join(box, ["grid", "r", "c"]).select("grid", "r", "c", "v", (F.col("s") / F.col("n")).alias("mean"), "least")
+
+
+def neighbour_slope(grids: DataFrame, size: float) -> DataFrame:
+    """Slope of ``grids(grid, r, c, v)`` by central differences, one-sided at the border."""
+    rows, cols = Window.partitionBy("grid", "c").orderBy("r"), Window.partitionBy("grid", "r").orderBy("c")
+
+    def change(w):
+        before, after = F.lag("v").over(w), F.lead("v").over(w)
+        steps = before.isNotNull().cast("int") + after.isNotNull().cast("int")
+        return (F.coalesce(after, "v") - F.coalesce(before, "v")) / (size * steps)
+
+    x = grids.withColumn("_x", change(cols)).withColumn("_y", change(rows))
+    return x.select("grid", "r", "c", "v", F.hypot("_x", "_y").alias("slope"))
+
+
+def integral(cells: DataFrame, value: str, rows: int, cols: int) -> DataFrame:
+    """(r, c, total): sums of ``cells(r, c, value)`` over all cells before r and c, for 0..rows and 0..cols."""
+    spine = cells.sparkSession.range(rows).select(F.col("id").alias("r")).crossJoin(F.broadcast(cells.sparkSession.range(cols).select(F.col("id").alias("c"))))
+    full = spine.join(cells.select("r", "c", value), ["r", "c"], "left").select("r", "c", F.coalesce(value, F.lit(0)).alias("v"))
+    across = full.withColumn("v", F.sum("v").over(Window.partitionBy("r").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)))
+    both = across.withColumn("v", F.sum("v").over(Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)))
+    return both.select((F.col("r") + 1).alias("r"), (F.col("c") + 1).alias("c"), F.col("v").alias("total"))
+
+
+def window_share(points: DataFrame, table: DataFrame, reach: int, rows: int, cols: int) -> DataFrame:
+    """``points(r, c, ...)`` with ``share``: the integral's sum over the clipped square around, over its cells."""
+    lo = lambda x: F.greatest(F.col(x) - reach, F.lit(0))
+    hi = lambda x, n: F.least(F.col(x) + reach + 1, F.lit(n))
+    corners = F.array(*[F.struct(r.cast("long").alias("r"), c.cast("long").alias("c"), F.lit(k).alias("k")) for r, c, k in ((hi("r", rows), hi("c", cols), 1), (lo("r"), hi("c", cols), -1), (hi("r", rows), lo("c"), -1), (lo("r"), lo("c"), 1))])
+    cells = ((hi("r", rows) - lo("r")) * (hi("c", cols) - lo("c"))).cast("double")
+    x = points.withColumn("_cells", cells).withColumn("_k", F.explode(corners)).withColumn("_r", F.col("_k.r")).withColumn("_c", F.col("_k.c"))
+    x = x.join(table.toDF("_r", "_c", "total"), ["_r", "_c"], "left")
+    total = F.sum(F.col("_k.k") * F.coalesce("total", F.lit(0)))
+    return x.groupBy(*points.columns, "_cells").agg((total / F.col("_cells")).alias("share")).drop("_cells")
+
+
+def sample(points: DataFrame, cells: DataFrame, left: float, top: float, size: float) -> DataFrame:
+    """``points(x, y, ...)`` with the value of the cell below them; null outside the grid and on missing cells."""
+    x = points.withColumn("c", F.floor((F.col("x") - left) / size)).withColumn("r", F.floor((F.lit(top) - F.col("y")) / size))
+    return x.join(cells.select("r", "c", "v"), ["r", "c"], "left")
+
+
+def burn(lines: DataFrame, size: float, steps: int) -> DataFrame:
+    """Cells (r, c) under segments (ax, ay, bx, by), at ``steps`` + 1 even points of each."""
+    u = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: i / F.lit(float(steps))))
+    x = lines.withColumn("_u", u)
+    at = lambda a, b: F.floor((F.col(a) + F.col("_u") * (F.col(b) - F.col(a))) / size)
+    return x.withColumn("r", at("ay", "by")).withColumn("c", at("ax", "bx")).drop("_u")

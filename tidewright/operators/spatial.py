@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def distance_join(left: DataFrame, right: DataFrame, radius: float, how: Column | None = None) -> DataFrame:
     """Pairs of left(id, x, y) and right(rid, rx, ry) at most ``radius`` apart, with ``dist``."""
@@ -31,3 +33,30 @@ def point_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by
     size = dx * dx + dy * dy
     t = F.when(size == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / size)))
     return F.hypot(px - (ax + t * dx), py - (ay + t * dy))
+
+
+#: Search radius in metres, the wider one for named streets and areas, nearest without a name, similarity.
+RADIUS, NAMED_RADIUS, NEAR, SIMILAR = 150.0, 500.0, 40.0, 0.55
+
+
+def match_records(records: DataFrame, routes: DataFrame) -> DataFrame:
+    """``records(record_id, raw, location_precision, x, y)`` to ``routes(route_id, name_norm, named, line)``: record_id,
+    route_id, match_type, dist.
+
+    A segment is put into every cell that it crosses, with a margin of the wider radius, so a record meets its cell only.
+    """
+    ends = routes.select("route_id", "name_norm", "named", F.explode(F.arrays_zip(F.slice("line", 1, F.size("line") - 1).alias("a"), F.slice("line", 2, F.size("line") - 1).alias("b"))).alias("s"))
+    ends = ends.select("route_id", "name_norm", "named", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - NAMED_RADIUS) / NAMED_RADIUS), F.floor((F.greatest(a, b) + NAMED_RADIUS) / NAMED_RADIUS))
+    ends = ends.withColumn("gx", F.explode(span("ax", "bx"))).withColumn("gy", F.explode(span("ay", "by")))
+    name = text.normalize_name(text.road_name(F.coalesce("raw", F.lit(""))))
+    wide = F.col("location_precision").isin("street", "area") & (F.col("norm") != "")
+    rec = records.withColumn("norm", name).withColumn("radius", F.when(wide, NAMED_RADIUS).otherwise(RADIUS))
+    rec = rec.withColumn("gx", F.floor(F.col("x") / NAMED_RADIUS)).withColumn("gy", F.floor(F.col("y") / NAMED_RADIUS))
+    dist = point_segment(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])
+    near = rec.join(ends, ["gx", "gy"]).withColumn("dist", dist).filter("dist <= radius")
+    near = near.groupBy("record_id", "norm", "route_id", "name_norm", "named").agg(F.min("dist").alias("dist"))
+    alike = F.when(F.col("named"), text.name_similarity(F.col("norm"), F.col("name_norm"))).otherwise(F.lit(0.0))
+    pairs = near.select(F.col("record_id").alias("id"), F.col("route_id").alias("rid"), "dist", alike.alias("similarity"))
+    found = best_match(records.select(F.col("record_id").alias("id")), pairs, SIMILAR, NEAR)
+    return found.select(F.col("id").alias("record_id"), F.col("rid").alias("route_id"), "match_type", "dist")

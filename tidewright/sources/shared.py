@@ -1,19 +1,45 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables staged in it."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (one machine only)."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder on a single machine and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="tidewright-"))
-        found = f"file://{_own[0]}"
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="tidewright-"))
+    return f"file://{_own[0]}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session is gone
+        pass
+
+
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+    return path
+
+
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
+    path = staged_path(df.sparkSession, name)
+    df.write.parquet(path, compression=compression)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

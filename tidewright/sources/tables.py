@@ -45,3 +45,8 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "user_id", (F.col("event_id") % 50).alias("route_id"), "ts", "value", status.alias("status"), (kind == "purchase").alias("official"),
     )
+
+
+def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items before the cut-off: the only rows that fitting may see."""
+    return table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") < F.lit(CUTOFF).cast("timestamp_ntz"))

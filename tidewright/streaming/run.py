@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import staged_path
 
 
 def drained(spark: SparkSession, sf_dir: str, job, mode: str, late: str) -> DataFrame:
     """All final rows of ``job`` over the events; one far later marker row, dropped again, closes the last windows."""
-    path = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = staged_path(spark, "stream")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     marker = events.limit(1).withColumn("ts", F.lit("2200-01-01").cast("timestamp_ntz")).withColumn("event_type", F.lit("\x00"))
     events.write.parquet(f"{path}/in/0")
@@ -25,7 +23,7 @@ def drained(spark: SparkSession, sf_dir: str, job, mode: str, late: str) -> Data
 
 def latest(spark: SparkSession, rows: DataFrame, job, key: str) -> DataFrame:
     """The last row by ``key`` that ``job`` emits in update mode over ``rows``; a repeated batch overwrites its own folder."""
-    path = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = staged_path(spark, "stream")
     rows.write.parquet(f"{path}/in")
     out = job(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
     spark.createDataFrame([], out.schema).withColumn("batch", F.lit(-1).cast("long")).write.parquet(f"{path}/out/none")
