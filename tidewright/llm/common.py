@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete, staged
+
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
@@ -51,41 +49,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset (one machine only)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        global _OWN
-        _OWN = _OWN or tempfile.mkdtemp(prefix="tidewright-")
-        found = f"file://{_OWN}"
-    return found
-
-
-_OWN: str | None = None
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session is gone
-        pass
-
-
 def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return staged(df, name, compression)
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table that ``saved`` wrote and that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 def crc_mod(col: str, n: int):

@@ -178,8 +178,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     one = sketch.join(its, F.col("digest").eqNullSafe(F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     one = one.dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), "rep", "n_shingles", "bands", "registers")
     keyed = one.select("doc_id", "rep", F.explode("bands").alias("key"))
-    lead = keyed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead < last")
-    bucket = saved(keyed.join(lead.select("key", "lead"), "key"), "buckets")
+    # The least doc_id leads a bucket: of a text and its later edited copies, that is the one that all are like.
+    keyed = keyed.withColumn("_by", F.coalesce("rep", F.lit((1 << 63) - 1)))
+    lead = keyed.groupBy("key").agg(F.min(F.struct("_by", "doc_id")).alias("l"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    lead = lead.filter("a < b").select("key", F.col("l.doc_id").alias("lead"), F.col("l._by").alias("lead_by"))
+    bucket = saved(keyed.drop("_by").join(lead, "key"), "buckets")
     ids = bucket.select("doc_id", "rep").distinct()
     bucket = bucket.drop("rep")
     regs = one.join(ids.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "registers")
@@ -204,13 +207,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         mine = comp.toDF("doc_id", "c1")
         its = comp.toDF("lead", "c2")
         out = bucket.join(mine, "doc_id", "left").join(its, "lead", "left")
-        return out.select("key", "doc_id", "lead", F.coalesce("c1", "doc_id").alias("comp"), F.coalesce("c2", "lead").alias("lead_comp"))
+        return out.select("key", "doc_id", "lead", "lead_by", F.coalesce("c1", "doc_id").alias("comp"), F.coalesce("c2", "lead").alias("lead_comp"))
 
     links, comp = None, None
     for _ in range(2):
         open_ = labelled(comp).filter("comp <> lead_comp")
-        votes = open_.groupBy("doc_id", "lead").count()
-        best = votes.groupBy("doc_id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
+        votes = open_.groupBy("doc_id", "lead", "lead_by").count()
+        best = votes.groupBy("doc_id").agg(F.max_by("lead", F.struct(F.col("count"), -F.col("lead_by"), -F.col("lead"))).alias("lead"))
         found = confirmed(best.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")))
         links = found if links is None else links.union(found)
         comp = components(links)
