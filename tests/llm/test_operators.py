@@ -163,6 +163,29 @@ def test_mixing_reaches_targets(spark):
     assert total / total.sum() == pytest.approx([0.5, 0.5], abs=1e-3) and (got["rate"] >= 0).all() and len(got) == len(rows)
 
 
+def test_mixing_rates_are_those_of_projected_gradient(spark):
+    rng = random.Random(4)
+    vocab = {"en": ["the", "with", "show", "why"], "de": ["über", "schön", "größe", "wäre"], "fr": ["été", "ça", "où", "être"]}
+    rows = [(i, " ".join(rng.choice(vocab[lang]) for _ in range(rng.randrange(5, 60))), lang, "s", 0) for i in range(90) for lang in [rng.choice(["en", "en", "de", "fr"])]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    targets = {"de": 0.5, "en": 0.2, "fr": 0.3}
+    got = mixing_rates(docs, docs.select("doc_id", F.col("lang").alias("domain")), targets).orderBy("doc_id").collect()
+    p, n = np.array([r["posterior"] for r in got]), np.array([r["n_tokens"] for r in got], float)
+    a = p * n[:, None] / n.sum()
+    goal, metric = np.array([targets[d] for d in sorted(targets)]), None
+    m = (p * n[:, None]).T @ p / n.sum()
+    metric = np.linalg.pinv(m + 1e-9 * np.trace(m) * np.eye(3))
+    r = np.ones(len(got))
+    for _ in range(1000):
+        miss = r @ a - goal
+        if np.abs(miss).max() < 1e-6:
+            break
+        r = np.maximum(0, r - p @ (metric @ miss))
+    assert [x["rate"] for x in got] == pytest.approx(r.tolist(), abs=1e-5) and min(r) >= 0
+    assert (np.array([x["rate"] for x in got]) @ a).tolist() == pytest.approx(goal.tolist(), abs=1e-3)
+    assert all(x["copies"] in (math.floor(x["rate"]), math.floor(x["rate"]) + 1) for x in got)
+
+
 def test_toxicity_learns_words_and_stems(spark):
     rng = random.Random(2)
     rows, labels = [], []
@@ -192,6 +215,18 @@ def test_ordinal_thresholds_order():
     assert cuts[0] <= cuts[1] and w[0] < w[1] < w[2]
 
 
+def test_ordinal_probabilities_of_three_grades(spark):
+    rng = random.Random(8)
+    words = {0: "bad awful poor", 1: "fair middling plain", 2: "good fine splendid"}
+    rows = [(i, " ".join(rng.choice(words[i % 3].split()) for _ in range(30))) for i in range(120)]
+    docs = table(spark, rows)
+    labels = spark.createDataFrame([(i, i % 3) for i, _ in rows[:90]], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in ordinal_quality(docs, labels, n_grades=3).collect()}
+    mean = [np.mean([got[i]["expected_grade"] for i in range(90, 120) if i % 3 == g]) for g in range(3)]
+    assert mean[0] + 0.3 < mean[1] < mean[2] - 0.3
+    assert all(0 <= r["expected_grade"] <= 2 and 0 <= r["tail_probability"] <= 1 for r in got.values())
+
+
 def test_quality_model_separates(spark):
     rows = [(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(50)) if i % 2 else "BUY!! " * 50) for i in range(200)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
