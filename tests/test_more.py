@@ -236,3 +236,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.parquet(f"file://{tmp_path}/q_route_id").count() == 200
     with pytest.raises(SystemExit):
         cli.main(["run", "nothing", "--tables", SF, "--out", str(tmp_path)])
+
+
+def test_running_totals_with_an_outlier_and_one_score(spark):
+    rows = [(float(i % 500) / 1e6, 1) for i in range(3000)] + [(1e18, 1), (-1e18, 1)]
+    df = spark.createDataFrame(rows, "v double, n long")
+    by = df.groupBy("v").agg(F.sum("n").alias("c"))
+    got = {r["v"]: r["t"] for r in stats.running(by, "v", {"t": "c"}).collect()}
+    assert got == {v: sum(x <= v for x, _ in rows) for v in {v for v, _ in rows}}
+    sizes = [r["n"] for r in stats.ranged(by, F.col("v")).groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= 3 and max(sizes) < 0.6 * by.count()
+    same = spark.range(2000).select("id", F.lit(7).alias("s"))
+    assert [r["id"] for r in stats.row_ranks(same, "s", F.col("id")).orderBy("rn").collect()] == list(range(2000))
+    sizes = [r["n"] for r in stats.ranged(same, F.desc("s"), F.col("id")).groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) < 0.6 * 2000

@@ -1,7 +1,7 @@
 """Ranks, distributions and ranking metrics without single-partition windows.
 
-Values are aggregated first; running totals over them go in two levels: inside equal-width buckets, and over the
-few bucket totals.  So no task holds more than a bucket of distinct values.
+Values are aggregated first; running totals over them go in two levels: inside ranges of about equal size, and over
+the few range totals.  So no task holds more than a range of distinct values.
 """
 
 from __future__ import annotations
@@ -10,25 +10,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 256
+from ..sources.shared import staged
 
 
-def _bucketed(df: DataFrame, by: str) -> DataFrame:
-    edge = df.agg(F.min(by).cast("double").alias("_lo"), F.max(by).cast("double").alias("_hi"))
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / BUCKETS, F.lit(1e-300))
-    at = F.least(F.floor((F.col(by).cast("double") - F.col("_lo")) / width), F.lit(BUCKETS - 1))
-    return df.crossJoin(F.broadcast(edge)).withColumn("_b", at).drop("_lo", "_hi")
+
+def ranged(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` in as many ranges of ``order`` as the session has shuffle partitions, numbered in ``_b``: range edges come
+    from a sample, so no outlier and no dense stretch fills one range alone.  Staged, as a range must not move when its
+    rows are read twice."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(df.repartitionByRange(n, *order).withColumn("_b", F.spark_partition_id()), "ranged")
 
 
 def running(df: DataFrame, by: str, sums: dict[str, str], keys: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with inclusive running totals ``sums`` (new name: column) in the order of the distinct values ``by``."""
-    rows = _bucketed(df, by)
+    rows = ranged(df, F.col(by))
     total = rows.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offset = total.select(*keys, "_b", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_o{n}") for n in sums])
     inside = Window.partitionBy(*keys, "_b").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"_{n}": F.sum(c).over(inside) for n, c in sums.items()})
-    joined = rows.join(F.broadcast(offset), [*keys, "_b"])  # BUCKETS rows a key
+    joined = rows.join(F.broadcast(offset), [*keys, "_b"])  # a row for each range of a key
     return joined.select(*df.columns, *[(F.col(f"_o{n}") + F.col(f"_{n}")).alias(n) for n in sums])
 
 
@@ -58,10 +60,14 @@ def foreign_le(ref: DataFrame, probe: DataFrame, value: str) -> DataFrame:
 
 
 def row_ranks(df: DataFrame, score: str, *ties: Column, out: str = "rn") -> DataFrame:
-    """Row number by ``score`` descending, then ``ties``: rows above the score, plus the place among its equals."""
-    above = value_ranks(df, score).select(score, (F.col("n") - F.col("le")).alias("_above"))
-    inside = F.row_number().over(Window.partitionBy(score).orderBy(*ties))
-    return df.withColumn("_in", inside).join(above, score).withColumn(out, F.col("_above") + F.col("_in")).drop("_in", "_above")
+    """Row number by ``score`` descending, then ``ties``; rows without a score go.  Ranges are cut by score and ties, so
+    equal scores need not be in one task."""
+    order = [F.desc(score), *ties]
+    rows = ranged(df.filter(F.col(score).isNotNull()), *order)
+    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    start = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
+    return rows.withColumn("_in", inside).join(F.broadcast(start), "_b").withColumn(out, F.col("_above") + F.col("_in")).drop("_in", "_above", "_b")
 
 
 def rank_bins(rn: Column, n: Column, q: int) -> Column:

@@ -125,7 +125,7 @@ def q_history_score(s, d):
     return history(s, d)
 
 
-@query()
+@query(r"""select doc_id, trim(regexp_replace(trim(regexp_replace(regexp_replace(lower(strip_accents(replace(replace(text, 'Đ', 'd'), 'đ', 'd'))), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), '^(duong|pho) +', '')) as name from documents""")
 def q_norm_name(s, d):
     return t.table(s, d, "documents").select("doc_id", text.normalize_name("text").alias("name"))
 

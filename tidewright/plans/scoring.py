@@ -131,7 +131,9 @@ def q_lr_scores(s, d):
     return model.transform(x).select("vec_id", r6(vector_to_array("probability")[1]).alias("score"))
 
 
-@query()
+@query(f"""with x as ({_SCORED}), g as (select score, avg(quality) as y, count(*) as w from x group by 1), c as (select score, sum(y * w) over (order by score) as sy, sum(w) over (order by score) as sw, y, w from g),
+ ab as (select a.score as a, b.score as b, (b.sy - a.sy + a.y * a.w) / (b.sw - a.sw + a.w) as m from c a join c b on b.score >= a.score), k as (select g.score, ab.a, min(ab.m) as m from g join ab on ab.a <= g.score and ab.b >= g.score group by 1, 2)
+ select score::double as score, round(max(m), 6) as fitted from k group by 1""")
 def q_isotonic(s, d):
     """Non-decreasing positive share by score; equal scores pool first, so the fit sees distinct scores only."""
     from pyspark.ml.regression import IsotonicRegression
