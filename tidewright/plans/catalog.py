@@ -125,7 +125,7 @@ def q_history_score(s, d):
     return history(s, d)
 
 
-@query(r"""select doc_id, trim(regexp_replace(trim(regexp_replace(regexp_replace(lower(strip_accents(replace(replace(text, 'Đ', 'd'), 'đ', 'd'))), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), '^(duong|pho) +', '')) as name from documents""")
+@query(r"""select doc_id, trim(regexp_replace(trim(regexp_replace(regexp_replace(lower(strip_accents(replace(replace(replace(text, 'Đ', 'd'), 'đ', 'd'), 'ß', 'ss'))), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), '^(duong|pho) +', '')) as name from documents""")
 def q_norm_name(s, d):
     return t.table(s, d, "documents").select("doc_id", text.normalize_name("text").alias("name"))
 
@@ -482,9 +482,9 @@ def q_json_props(s, d):
     return t.table(s, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"), F.count(F.lit(1)).alias("n"))
 
 
-@query("select vec_id, i - 1 as dim, round(embedding[i], 6) as v from (select vec_id, embedding, unnest(range(1, 65)) as i from embeddings) where i <= 4")
+@query("select vec_id, i - 1 as dim, round(embedding[i], 6) as v from (select vec_id, embedding, unnest(range(1, 65)) as i from embeddings)")
 def q_nested_explode(s, d):
-    x = t.table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "v")).filter("dim < 4")
+    x = t.table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "v"))
     return x.select("vec_id", F.col("dim").cast("long").alias("dim"), r6(F.col("v")).alias("v"))
 
 

@@ -262,3 +262,47 @@ def q_shown_level(s, d):
     m = evidence.modal_level(use, "route_id", deep)
     names = F.array(*map(F.lit, ("none", "light", "unknown", "moderate", "high")))
     return m.select("route_id", F.get(names, F.col("severity")).alias("level"), "n")
+
+
+@query("""with o as (select o_orderdate::date as date, count(*) as n_orders from orders group by 1), l as (select l_shipdate::date as date, round(sum(l_quantity), 2) as shipped from lineitem where l_quantity >= 49 group by 1)
+ select date, n_orders, shipped, coalesce(shipped, 0) as filled from o left join l using (date)""")
+def q_join_date_left(s, d):
+    """Days of one table with what another knows of them; unknown stays null, and 0 only where a fill is asked for."""
+    o = t.table(s, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("n_orders"))
+    ship = t.table(s, d, "lineitem").filter("l_quantity >= 49").groupBy(F.col("l_shipdate").cast("date").alias("date")).agg(F.round(F.sum("l_quantity"), 2).alias("shipped"))
+    return o.join(ship, "date", "left").select("date", "n_orders", "shipped", F.coalesce("shipped", F.lit(0.0)).alias("filled"))
+
+
+@query(f"""with {_DAYS_T}, chosen as (select max(date) as date from lab where pos), c as (select hour, max(mm) as mm from h group by 1)
+ select c.hour, round(c.mm, 6) as mm from c, chosen where c.hour >= chosen.date::timestamp + interval 12 hours - interval 72 hours and c.hour <= chosen.date::timestamp + interval 12 hours + interval 6 hours""")
+def q_replay_slice(s, d):
+    """The hours around noon of the newest reported day, three days back and six hours on: one row is broadcast."""
+    chosen = labelled_days(s, d).filter("pos").agg(F.max("date").cast("timestamp_ntz").alias("day"))
+    city = t.hourly(s, d).groupBy("hour").agg(F.max("mm").alias("mm")).crossJoin(F.broadcast(chosen))
+    noon = F.col("day") + F.expr("interval 12 hours")
+    return city.filter((F.col("hour") >= noon - F.expr("interval 72 hours")) & (F.col("hour") <= noon + F.expr("interval 6 hours"))).select("hour", r6("mm").alias("mm"))
+
+
+@query(f"""with {_CELL_DAYS} select cell, date, case when max_3h is not null and prev_24h is not null and prev_72h is not null then round(1 / (1 + exp(-(0.01::double * max_3h + 0.002::double * prev_24h - 0.0005::double * prev_72h - 1.5::double))), 6) end as p from cd""")
+def q_score_complete(s, d):
+    """Only rows with every feature known are scored; the others stay null."""
+    known = F.col("max_3h").isNotNull() & F.col("prev_24h").isNotNull() & F.col("prev_72h").isNotNull()
+    z = 0.01 * F.col("max_3h") + 0.002 * F.col("prev_24h") - 0.0005 * F.col("prev_72h") - 1.5
+    return cell_days(s, d).select("cell", "date", F.when(known, r6(triggers.expit(z))).alias("p"))
+
+
+@query(f"""with {_TIDE}, q as (select hour, least(400, greatest(0, level * 200)) as v from a) select hour, round(1 / (1 + exp(-(({_PCT.format(v="v")}) - 0.95::double) / 0.02::double)), 6) as t_tide from q""")
+def q_tide_trigger_hour(s, d):
+    """The trigger of each hour's level against the climatology of daily maxima, as the hourly runner has it."""
+    level = t.hourly(s, d).filter("cell <> 'error'").groupBy("hour").agg((F.sum("mm") / 1000).alias("level"))
+    v = F.least(F.lit(400.0), F.greatest(F.lit(0.0), F.col("level") * 200))
+    return level.select("hour", r6(triggers.apply({"kind": "percentile", "knots": _KNOTS}, [v])).alias("t_tide"))
+
+
+@query(f"""with {_DAYS_T}, m as (select avg(t) as mean from lab) select count(*) as days, round(avg(pos::int), 6) as rate, round(greatest(0, avg(pos::int) - 1.96::double * sqrt(avg(pos::int) * (1 - avg(pos::int)) / count(*))), 6) as low, round(least(1, avg(pos::int) + 1.96::double * sqrt(avg(pos::int) * (1 - avg(pos::int)) / count(*))), 6) as high from lab""")
+def q_rate_interval(s, d):
+    """A share with its binomial interval in closed form."""
+    p = F.avg(F.col("pos").cast("int"))
+    x = labelled_days(s, d).agg(F.count(F.lit(1)).alias("days"), p.alias("rate"))
+    half = 1.96 * F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("days"))
+    return x.select("days", r6("rate").alias("rate"), r6(F.greatest(F.lit(0.0), F.col("rate") - half)).alias("low"), r6(F.least(F.lit(1.0), F.col("rate") + half)).alias("high"))
