@@ -20,6 +20,7 @@ from .common import saved
 # Letters that tell the corpus languages apart.
 LETTERS = ("é", "è", "ê", "ç", "ñ", "ó", "í", "á", "ä", "ö", "ü", "ß", "q", "w", "z", "k", "j", "y", "h", "v")
 STEPS = 24
+RAREST = 0.005  # of the largest domain: rarer ones take small steps, so that one without texts cannot drive the rates up
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -42,10 +43,11 @@ def posteriors(feats: DataFrame, labelled: DataFrame, domains: list[str]) -> Dat
     """``feats`` with ``p``, the posterior over ``domains``, learned from ``labelled(doc_id, domain)``.
 
     Naive Bayes with counts damped to an effective length of 200 characters, so that long texts keep soft
-    posteriors.  Without labelled rows the posterior is uniform.
+    posteriors.  Without labelled rows the posterior is uniform; of several domains of a doc_id the first name counts.
     """
     width = len(LETTERS) + 1
-    joined = feats.join(labelled.select("doc_id", "domain").filter("doc_id is not null").dropDuplicates(["doc_id"]), "doc_id")
+    known = labelled.filter("doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    joined = feats.join(known, "doc_id")
     sums = joined.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get("f", F.lit(i))).alias(f"f{i}") for i in range(width)])
     found = {r["domain"]: r for r in sums.filter(F.col("domain").isin(domains)).collect()}
     total = sum(r["n"] for r in found.values()) or 1
@@ -77,7 +79,8 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, flo
     ``rate`` is nonnegative; the expected domain totals sum(rate * n_tokens * posterior) approach the target
     shares of the corpus' tokens, or with ``keep_all`` of the least total at which no domain shrinks.  ``copies``
     is the rate rounded down or up by a hash of doc_id so that it is right on average.  Texts without words count
-    nothing and keep rate 1.  Nulls in ``labelled`` are ignored; ties in domain go to the first name.
+    nothing and keep rate 1.  Targets that no nonnegative rates reach, such as those of a domain without texts, are
+    approached in least squares and leave the rates of a moderate size.  Nulls in ``labelled`` are ignored; ties in domain go to the first name.
     """
     domains = sorted(targets)
     if not domains or any(targets[d] < 0 for d in domains) or sum(targets.values()) <= 0:
@@ -100,7 +103,8 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, flo
         m = np.array([[row[f"m{min(d, e)}_{max(d, e)}"] or 0.0 for e in range(k)] for d in range(k)]) / scale
         at_least = max((have[d] / scale / want[d] for d in range(k) if want[d] > 0 and have[d] > 0), default=1.0)
         goal = want * (at_least if keep_all else 1.0)
-        metric = np.linalg.pinv(m + 1e-9 * np.trace(m) * np.eye(k))  # residuals weighed by it: near-Newton steps, k x k
+        size, axes = np.linalg.eigh(m)
+        metric = axes / np.maximum(size, RAREST * size.max()) @ axes.T  # residuals weighed by it: near-Newton steps, k x k
         for _ in range(steps):
             sums = [F.sum(F.col("r") * F.get("a", F.lit(d))).alias(f"s{d}") for d in range(k)]
             got = scaled.select("a", _rates(gradient, k).alias("r")).agg(*sums).first()
@@ -111,7 +115,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, flo
     u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 16, 12), 16, 10).cast("double") / F.lit(float(16**12))
     best = F.array_position("p", F.array_max("p")).cast("int")
     return (
-        scaled.withColumn("rate", _rates(gradient, k))
+        scaled.withColumn("rate", F.when(F.col("n_tokens") > 0, _rates(gradient, k)).otherwise(1.0))
         .select(
             "doc_id",
             "n_tokens",
