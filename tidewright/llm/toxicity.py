@@ -185,9 +185,12 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def bounded_labels(labels: DataFrame, limits: dict[int, int], column: str) -> DataFrame:
-    """At most about ``limits`` rows of each class, chosen by a hash of doc_id; (doc_id, column)."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias(column)).dropna().dropDuplicates(["doc_id"])
-    rows = saved(rows, "labels")
+    """At most about ``limits`` rows of each class, chosen by a hash of doc_id; (doc_id, column).
+
+    Of several labels of a doc_id the greatest counts; null ones do not.
+    """
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias(column)).dropna()
+    rows = saved(rows.groupBy("doc_id").agg(F.max(column).alias(column)), "labels")
     have = {r[0]: r[1] for r in rows.groupBy(column).count().collect()}
     share = F.coalesce(*[F.when(F.col(column) == k, F.lit(min(1.0, limits.get(k, 0) / n))) for k, n in have.items()], F.lit(0.0))
     return rows.filter(F.pmod(F.xxhash64(F.col("doc_id") * 7 + 1), F.lit(1_000_000)) < share * 1_000_000)
