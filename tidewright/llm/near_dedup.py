@@ -26,11 +26,11 @@ from .common import mix64, saved, small_batches, space_words
 from .graph import components
 
 WIDTH = 5
-ROWS, BANDS = 5, 25
-REGISTERS = ROWS * BANDS
+ROWS = 5
+MISS = 5e-7  # of a pair at the limit, by all bands
 BASE = 1.02
 _LN_BASE = math.log(BASE)
-PREFILTER = 0.65  # estimates below it are over six deviations from 0.85
+DEVIATIONS = 6.3  # by which an estimate may fall short of the limit
 _CHUNK = 1_000_000
 SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>, registers binary"
 
@@ -50,7 +50,14 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
     return acc[np.concatenate([[True], acc[1:] != acc[:-1]])]
 
 
-def sketch_sets(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """Bands with which a pair at the limit is missed with probability MISS at most: 25 at 85, 37 at 80."""
+    if not 60 <= percent <= 100:
+        raise ValueError("percent must be from 60 to 100")
+    return math.ceil(math.log(MISS) / math.log1p(-((min(percent, 99) / 100) ** ROWS)))
+
+
+def sketch_sets(sets: list[np.ndarray], m: int = ROWS * bands_for(85)) -> np.ndarray:
     """Registers (len(sets) x m, uint16) of non-empty hash sets."""
     first = np.full(len(sets) * m, np.inf)
     sizes = np.array([len(s) for s in sets])
@@ -80,7 +87,8 @@ def sketch_sets(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
 
 
 def band_keys(reg: np.ndarray) -> np.ndarray:
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(reg), BANDS)).copy()
+    bands = reg.shape[1] // ROWS
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(reg), bands)).copy()
     for r in range(ROWS):
         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + reg[:, r :: ROWS].astype(np.uint64))
     return key.view(np.int64)
@@ -101,22 +109,25 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
     return j[np.arange(len(j)), like.argmax(1)]
 
 
-def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        sets = [shingle_hashes(t) for t in batch["text"]]
-        full = [i for i, s in enumerate(sets) if len(s)]
-        bands: list = [None] * len(sets)
-        regs: list = [None] * len(sets)
-        digest: list = [None] * len(sets)
-        if full:
-            reg = sketch_sets([sets[i] for i in full])
-            key = band_keys(reg)
-            for k, i in enumerate(full):
-                bands[i], regs[i] = key[k], reg[k].tobytes()
-                digest[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
-        yield pd.DataFrame(
-            {"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "digest": digest, "bands": bands, "registers": regs}
-        )
+def _sketches(registers: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_hashes(t) for t in batch["text"]]
+            full = [i for i, s in enumerate(sets) if len(s)]
+            bands: list = [None] * len(sets)
+            regs: list = [None] * len(sets)
+            digest: list = [None] * len(sets)
+            if full:
+                reg = sketch_sets([sets[i] for i in full], registers)
+                key = band_keys(reg)
+                for k, i in enumerate(full):
+                    bands[i], regs[i] = key[k], reg[k].tobytes()
+                    digest[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
+            yield pd.DataFrame(
+                {"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "digest": digest, "bands": bands, "registers": regs}
+            )
+
+    return run
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,12 +137,15 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"digest": digest, "shingles": [s.tobytes() for s in sets]})
 
 
-def _estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        if len(batch):
-            a, b = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), -1) for c in ("ra", "rb"))
-            near = likely_jaccard(a, b, batch["na"].to_numpy(float), batch["nb"].to_numpy(float)) >= PREFILTER
-            yield batch.loc[near, ["a", "b"]]
+def _estimate(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                a, b = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), -1) for c in ("ra", "rb"))
+                near = likely_jaccard(a, b, batch["na"].to_numpy(float), batch["nb"].to_numpy(float)) >= least
+                yield batch.loc[near, ["a", "b"]]
+
+    return run
 
 
 def _confirm(percent: int):
@@ -169,8 +183,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
+    registers, limit = ROWS * bands_for(percent), percent / 100
+    likely = limit - DEVIATIONS * math.sqrt(limit * (1 - limit) / registers)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = saved(docs.mapInPandas(_sketches, SKETCH), "sketch")
+    sketch = saved(docs.mapInPandas(_sketches(registers), SKETCH), "sketch")
     group = sketch.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     group = saved(group.withColumn("id", F.monotonically_increasing_id()), "classes")
     # From here on a distinct set is a vertex; doc_id is its number.
@@ -197,7 +213,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         right = regs.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
         sized = pairs.join(left, "a").join(right, "b")
         sized = sized.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        near = sized.mapInPandas(_estimate, "a long, b long")
+        near = sized.mapInPandas(_estimate(likely), "a long, b long")
         near = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         return saved(near.mapInPandas(_confirm(percent), "a long, b long"), "links")
 

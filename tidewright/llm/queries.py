@@ -39,10 +39,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("doc_id", "n_tokens", *each, "domain", "rate", "copies")
 
 
-def language_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows with a rating are the labelled table; their label is the language."""
-    rated = labels.select("doc_id").distinct()
-    return docs.select("doc_id", F.col("lang").alias("domain")).join(rated, "doc_id", "left_semi").filter("domain is not null")
+def language_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows with a rating are the labelled table, by their ``key``; their label is the language."""
+    rated = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").filter("lang is not null")
+    return rated.select(F.col(key).alias("doc_id"), F.col("lang").alias("domain"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
