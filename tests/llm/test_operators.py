@@ -70,6 +70,20 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_at_the_general_limit(spark):
+    rows = made(seed=8)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(table(spark, rows), 80).collect()}
+    assert got == brute_components(rows, 80) and got != brute_components(rows)
+
+
+def test_bands_miss_few_pairs_at_the_limit():
+    for percent in (60, 80, 85, 95):
+        assert (1 - (percent / 100) ** near_dedup.ROWS) ** near_dedup.bands_for(percent) <= near_dedup.MISS
+    assert near_dedup.bands_for(100) >= 1
+    with pytest.raises(ValueError, match="percent"):
+        near_dedup.bands_for(20)
+
+
 def test_near_duplicates_of_a_group_below_the_limit(spark):
     rng = random.Random(5)
     base = [f"w{rng.randrange(500)}" for _ in range(150)]
@@ -186,6 +200,18 @@ def test_mixing_rates_are_those_of_projected_gradient(spark):
     assert all(x["copies"] in (math.floor(x["rate"]), math.floor(x["rate"]) + 1) for x in got)
 
 
+def test_mixing_with_domains_without_texts(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["the", "with", "show", "why"]) for _ in range(rng.randrange(1, 200)))) for i in range(60)]
+    docs = table(spark, [*rows, (60, None), (61, " ")])
+    for known in (docs.filter("doc_id < 20"), docs.limit(0)):
+        labelled = known.select("doc_id", F.col("lang").alias("domain"))
+        for keep in (False, True):
+            got = mixing_rates(docs, labelled, {"en": 0.4, "de": 0.3, "fr": 0.3}, keep_all=keep).collect()
+            assert len(got) == 62 and all(0 <= r["rate"] < 20 for r in got)
+            assert [r["rate"] for r in got if r["n_tokens"] == 0] == [1, 1]
+
+
 def test_toxicity_learns_words_and_stems(spark):
     rng = random.Random(2)
     rows, labels = [], []
@@ -513,7 +539,36 @@ def test_pipeline_stages(spark):
         if name != p.STAGES[-1][0]:
             assert after.columns == docs.columns
         if name == "near_dedup":
-            groups = brute_components([(r["doc_id"], r["text"]) for r in before.collect()])
+            groups = brute_components([(r["doc_id"], r["text"]) for r in before.collect()], p.SIMILAR)
             assert kept == {i for i, (_, c) in groups.items() if i == c}
         before = p.saved(after, "stage")
     assert p.run(spark, sf).count() == before.count()
+
+
+def test_pipeline_stages_with_repeated_and_missing_ids(spark):
+    """Rows that share a doc_id, or have none, are judged one by one; extra columns stay, whatever their names."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    rng = random.Random(4)
+    a, b, c = ([f"{k}{rng.randrange(10**6)}" for _ in range(200)] for k in "abc")
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(5, a), (5, b), (5, b), (3, [*b, "more"]), (None, a), (None, c), (None, c), (7, []), (7, []), (8, None), (None, item.split())]
+    rows = [(i, w if w is None else " ".join(w)) for i, w in rows]
+    docs = table(spark, rows)
+    docs = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(["row", "id", "copies", "col", "kept", "component_id"])])
+    texts = lambda d: sorted(((r["doc_id"], r["text"]) for r in d.collect()), key=str)
+
+    got = p.near_dedup_stage(spark, docs, sf)
+    assert got.columns == docs.columns
+    left = [rows[i] for i in (0, 3, 5, 7, 8, 9, 10)]
+    assert texts(got) == sorted(left, key=str)
+    got = p.decontaminate_stage(spark, docs, sf)
+    assert got.columns == docs.columns and texts(got) == sorted(rows[:10], key=str)
+    got = p.mixing_stage(spark, docs, sf)
+    assert got.columns == docs.columns and set(texts(got)) == set(rows)
+    assert got.count() < 20 * len(rows)
+    assert p.sharding_stage(spark, docs, sf).count() == len(rows)
+    for name, stage in p.STAGES:
+        none = stage(spark, docs.limit(0), sf)
+        assert none.count() == 0 and (name == "sharding" or none.columns == docs.columns)
