@@ -136,8 +136,9 @@ class Code:
         bit of each symbol)."""
         n = self.size[symbols]
         ends = np.cumsum(n)
-        path = np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(self.start[symbols] - (ends - n), n)
-        return n, self.key[path], self.told[path], ends - n
+        path = np.arange(int(ends[-1]) if len(n) else 0)
+        path += np.repeat(self.start.take(symbols) - (ends - n), n)
+        return n, self.key.take(path), self.told.take(path), ends - n
 
 
 def _slots(key: np.ndarray, n: np.ndarray, group: np.ndarray, told: np.ndarray, bits: int) -> np.ndarray:
@@ -363,7 +364,7 @@ def word_cells(texts: Texts, code: Code, tables: list[np.ndarray], i: int, j: in
     """(cell and bit, number of bits, first bits)."""
     n, told, first, slots = texts.bits(code, i, j)
     level, bit = LEVEL[512 * (i >= texts.seen_in_training) :], told & np.uint8(1)
-    one, two = (level[t[s] * np.int32(2) + bit] for t, s in zip(tables, slots, strict=True))
+    one, two = (level.take(t.take(s) * np.int32(2) + bit) for t, s in zip(tables, slots, strict=True))
     cell = np.repeat(texts.strange[i:j], n) + (told >> np.uint8(1) & np.uint8(15)) * np.int32(LEVELS**2) + one * np.int32(LEVELS) + two
     return cell * 2 + bit, n, first
 
@@ -372,7 +373,7 @@ def spell_cells(words: list[bytes], out: bool, code: Code, tables: list[np.ndarr
     """(cell and bit, word, first bits)."""
     word, bit, first, slots = spelled(words, code)
     level = LEVEL[512 * out :]
-    a, b, c = (level[t[s] * np.int32(2) + bit] for t, s in zip(tables, slots, strict=True))
+    a, b, c = (level.take(t.take(s) * np.int32(2) + bit) for t, s in zip(tables, slots, strict=True))
     return (a * np.int32(LEVELS**2) + b * np.int32(LEVELS) + c) * 2 + bit, word, first
 
 
@@ -611,7 +612,7 @@ class Model:
         each = []
         for (some,) in _some(words):
             cell, _, first = spell_cells(some, out, self.spell_code, self.spells)
-            each.append(np.add.reduceat(self.spell_mix[cell], first, dtype=np.float64))
+            each.append(np.add.reduceat(self.spell_mix.take(cell), first, dtype=np.float64))
         return np.concatenate(each) if each else np.empty(0)
 
     def tokens(self, texts: Texts) -> np.ndarray:
@@ -619,7 +620,7 @@ class Model:
         each = np.empty(texts.unique)
         for i, j in texts.chunks():
             cell, _, first = word_cells(texts, self.code, self.tables, i, j)
-            each[i:j] = np.add.reduceat(self.mix[cell], first, dtype=np.float64)
+            each[i:j] = np.add.reduceat(self.mix.take(cell), first, dtype=np.float64)
         score = each[texts.which]
         at, seen, fresh = texts.cached()
         if len(at):
