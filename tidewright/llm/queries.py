@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from .chat_format import format_chats
 from .common import crc_mod
 from .decontam import decontaminate
+from .divergence import LEAST_DOCS, SCALE, TOP, source_divergence
 from .lm_score import lm_score
 from .mixing import mixing_rates
 from .near_dedup import near_duplicates
+from .packing import pack_documents
+from .prefix_trie import GROUP, SHARED, prefix_trie
 from .quality_model import ordinal_quality
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .sharding import assign_shards, lookup_table
@@ -86,6 +89,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -93,7 +110,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality_rules, op2_mixing, op3_near_dedup, op4_sharding, op5_toxicity, op6_quality_model, op7_decontaminate, op8_substring_dedup, op9_lm_score, op10_chat_format, pipeline]
+    named = [op1_quality_rules, op2_mixing, op3_near_dedup, op4_sharding, op5_toxicity, op6_quality_model, op7_decontaminate, op8_substring_dedup, op9_lm_score, op10_chat_format, op11_packing, op12_divergence, op13_prefix_trie, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -161,6 +178,47 @@ def _op7_sql() -> str:
     from d left join c using (doc_id) left join t using (doc_id)"""
 
 
+def _op12_sql() -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    part = f"1 + ({SCALE}::hugeint * ({{}} + 1)) // ({{}})"
+    return rf"""
+    with d as (select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source, {low} as text from documents),
+    t as (select i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+    k as (select lang, term, count(*) as c from t group by 1, 2 having count(distinct i) >= {LEAST_DOCS}),
+    v as (select lang, count(*) as v, sum(c) as n from k group by 1),
+    c as (select lang, source, term, count(*) as c from t join k using (lang, term) group by 1, 2, 3),
+    g as (select lang, source, coalesce(n, 0) as n from (select distinct lang, source from d) left join (select lang, source, sum(c) as n from c group by 1, 2) using (lang, source)),
+    p as (select g.lang, g.source, k.term, coalesce(c.c, 0) as c, {part.format("coalesce(c.c, 0)", "g.n + v.v")} as p, {part.format("k.c", "v.n + v.v")} as q
+        from g join k using (lang) join v using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+    s as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+    r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+            left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+        union all select lang, source, 'term', term, (p - q) * (p - q) // q from p where c > 0 and p > q),
+    o as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from r)
+    select lang, source, part, item, value::bigint as value, rank::integer as rank from o where part = 'pair' or rank <= {TOP}"""
+
+
+def _op13_sql() -> str:
+    step = "xor(xor(c, b) >> 1, case when xor(c, b) & 1 = 1 then 3988292384 else 0 end)"
+    bits = "flatten(list_transform(string_split(conv_id::varchar, ''), lambda x: [ascii(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))"
+    text = "strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')"
+    return f"""
+    with t as (select conv_id, coalesce(role, '') as role, length(coalesce(text, ''))::bigint as chars, sha256({text}) as x, turn from conversations where conv_id is not null),
+    o as (select conv_id, list(x order by turn nulls first, role, x) as x, list(chars order by turn nulls first, role, x) as chars from t group by 1),
+    h as (select *, xor(list_reduce(list_prepend(4294967295, {bits}), lambda c, b: {step}), 4294967295) % {SHARED} as h from o),
+    r as (select h.conv_id, list_concat(coalesce(b.x, [])[:h.h], h.x[h.h + 1:]) as x, list_concat(coalesce(b.chars, [])[:h.h], h.chars[h.h + 1:]) as chars
+        from h left join o b on b.conv_id = h.conv_id - h.conv_id % {GROUP}),
+    p as (select conv_id, d, md5(array_to_string(x[:d], ',')) as node, md5(array_to_string(x[:d - 1], ',')) as up, case when d > 0 then chars[d] else 0 end as chars, d = len(x) as ended
+        from (select *, unnest(range(0, len(x) + 1)) as d from r)),
+    n as (select d, node, min(up) as up, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(chars) as saved, list(conv_id order by conv_id) filter (ended) as ends from p group by 1, 2),
+    m as (select n.*, u.conv_id as parent, (select count(*) from n k where k.d = n.d + 1 and k.up = n.node) as kids from n left join n u on u.d = n.d - 1 and u.node = n.up),
+    path as (select distinct a.d, a.node, b.d as below_d, b.node as below from p a join p b on a.conv_id = b.conv_id and a.d <= b.d),
+    s as (select path.d, path.node, sum(saved) as saved, count_if(kids = 0) as leaves from path join m on m.d = path.below_d and m.node = path.below group by 1, 2)
+    select m.conv_id::bigint as conv_id, m.d::bigint as depth, case when m.d > 0 then m.parent end::bigint as parent_conv_id, m.n_convs::bigint as n_convs, m.kids::bigint as n_children,
+        s.leaves::bigint as n_leaves, s.saved::bigint as saved_tokens, sha256(coalesce(array_to_string(list_transform(m.ends, lambda c: c::varchar), ','), '')) as ends_sha256
+    from m join s on s.d = m.d and s.node = m.node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL exists for the rules, the shards and the decontamination; the others are tested by brute force."""
-    return {"op1_quality_rules": _op1_sql(), "op4_sharding": _op4_sql(), "op7_decontaminate": _op7_sql()}
+    """SQL exists for the rules, the shards, the decontamination, the divergences and the trie; the others are tested by brute force."""
+    return {"op1_quality_rules": _op1_sql(), "op4_sharding": _op4_sql(), "op7_decontaminate": _op7_sql(), "op12_divergence": _op12_sql(), "op13_prefix_trie": _op13_sql()}
