@@ -46,8 +46,9 @@ def sample_line(df: DataFrame, line: str, step: float) -> DataFrame:
     return x.withColumn("x", F.col("_p.x")).withColumn("y", F.col("_p.y")).drop("_n", "_p")
 
 
-def clip_to_cells(df: DataFrame, size: float) -> DataFrame:
-    """Segments (ax, ay, bx, by) cut at the grid's lines: a row a piece with its cell (gx, gy) and length."""
+def clip_to_cells(df: DataFrame, size: float, *ends: str) -> DataFrame:
+    """Segments (ax, ay, bx, by) cut at the grid's lines: a row a piece with its cell (gx, gy), length, and where ``ends``
+    names two columns, the shares of the segment's way at which it begins and ends."""
 
     def crossings(a: str, b: str) -> Column:
         lo, hi = F.ceil(F.least(a, b) / size), F.floor(F.greatest(a, b) / size)
@@ -60,7 +61,8 @@ def clip_to_cells(df: DataFrame, size: float) -> DataFrame:
     mid, share = (F.col("_p.u") + F.col("_p.v")) / 2, F.col("_p.v") - F.col("_p.u")
     cell = lambda a, b: F.floor((F.col(a) + mid * (F.col(b) - F.col(a))) / size)
     full = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
-    return x.withColumn("gx", cell("ax", "bx")).withColumn("gy", cell("ay", "by")).withColumn("length", share * full).drop("_u", "_p")
+    x = x.withColumn("gx", cell("ax", "bx")).withColumn("gy", cell("ay", "by")).withColumn("length", share * full)
+    return x.withColumns(dict(zip(ends, (F.col("_p.u"), F.col("_p.v")), strict=bool(ends)))).drop("_u", "_p")
 
 
 def water_classes(waterway: Column, natural: Column, is_area: Column, size: Column) -> list[Column]:

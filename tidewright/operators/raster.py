@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .geometry import clip_to_cells
+
 
 def box_mean(grid: DataFrame, reach: int) -> DataFrame:
     """Mean and count of (r, c, v) over the square of side 2 * reach + 1 around every cell: a sum down, then across."""
@@ -110,9 +112,7 @@ def sample(points: DataFrame, cells: DataFrame, left: float, top: float, size: f
     return x.join(cells.select("r", "c", "v"), ["r", "c"], "left")
 
 
-def burn(lines: DataFrame, size: float, steps: int) -> DataFrame:
-    """Cells (r, c) under segments (ax, ay, bx, by), at ``steps`` + 1 even points of each."""
-    u = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: i / F.lit(float(steps))))
-    x = lines.withColumn("_u", u)
-    at = lambda a, b: F.floor((F.col(a) + F.col("_u") * (F.col(b) - F.col(a))) / size)
-    return x.withColumn("r", at("ay", "by")).withColumn("c", at("ax", "bx")).drop("_u")
+def burn(lines: DataFrame, size: float) -> DataFrame:
+    """Cells (r, c) that segments (ax, ay, bx, by) run through, from their crossings of the grid's lines; a segment without
+    length has the cell it lies in."""
+    return clip_to_cells(lines, size).withColumnsRenamed({"gy": "r", "gx": "c"}).drop("length")

@@ -91,13 +91,19 @@ def q_route_grid_stats(s, d):
     )
 
 
-@query("""with s as (select vec_id, embedding[1]::double * 100 as ax, embedding[2]::double * 100 as ay, embedding[3]::double * 100 as bx, embedding[4]::double * 100 as by_ from embeddings),
- k as (select vec_id, unnest(range(0, 41)) / 40.0::double as u, * exclude (vec_id) from s) select distinct vec_id, floor((ay + u * (by_ - ay)) / 30)::bigint as r, floor((ax + u * (bx - ax)) / 30)::bigint as c from k""")
+_CROSS = "list_transform(range(ceil(least({a}, {b}) / 30)::bigint, floor(greatest({a}, {b}) / 30)::bigint + 1), lambda k: (k * 30.0::double - {a}) / nullif({b} - {a}, 0))"
+
+
+@query(f"""with s as (select vec_id, unnest(range(0, 31)) as i, embedding::double[] as e from embeddings), l as (select vec_id, i, e[2 * i + 1] * 100 as ax, e[2 * i + 2] * 100 as ay, e[2 * i + 3] * 100 as bx, e[2 * i + 4] * 100 as by_ from s),
+ c as (select *, list_sort(list_distinct(list_filter(list_concat([0.0::double, 1.0::double], {_CROSS.format(a="ax", b="bx")}, {_CROSS.format(a="ay", b="by_")}), lambda u: u >= 0 and u <= 1))) as us from l),
+ m as (select *, unnest(list_transform(range(1, len(us)), lambda j: (us[j] + us[j + 1]) / 2)) as u from c)
+ select distinct vec_id, floor((ay + u * (by_ - ay)) / 30)::bigint as r, floor((ax + u * (bx - ax)) / 30)::bigint as c from m""")
 def q_burned_cells(s, d):
-    """Cells that a line passes, found by points closer than any cell is wide."""
+    """Cells that a line of 32 points passes, from its exact crossings of the grid's lines."""
     e = lambda i: F.col("embedding")[i].cast("double") * 100
-    x = t.table(s, d, "embeddings").select("vec_id", e(0).alias("ax"), e(1).alias("ay"), e(2).alias("bx"), e(3).alias("by"))
-    return raster.burn(x, 30.0, 40).select("vec_id", "r", "c").distinct()
+    parts = F.array(*[F.struct(e(2 * i).alias("ax"), e(2 * i + 1).alias("ay"), e(2 * i + 2).alias("bx"), e(2 * i + 3).alias("by")) for i in range(31)])
+    x = t.table(s, d, "embeddings").select("vec_id", F.explode(parts).alias("p")).select("vec_id", "p.*")
+    return raster.burn(x, 30.0).select("vec_id", "r", "c").distinct()
 
 
 @query("""with x as (select l_partkey, l_linenumber, l_extendedprice, row_number() over (partition by l_partkey order by l_extendedprice, l_orderkey, l_linenumber, l_suppkey) as rn, count(*) over (partition by l_partkey) as n, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice) * 15.0::double as along from lineitem),
