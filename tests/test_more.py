@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewright import cli
 from tidewright.functions import stats, text
-from tidewright.operators import checks, evidence, geometry, kernels, sampling, scorers, spatial, triggers
+from tidewright.operators import checks, evidence, geometry, kernels, raster, sampling, scorers, spatial, triggers
 from tidewright.sources import payloads, rasters, shared, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -81,12 +81,20 @@ def test_terrain_kernels_against_brute_force():
     for r, c in itertools.product(*map(range, z.shape)):
         want = min((math.hypot(r - y, c - x), y * 11 + x) for y, x in zip(*np.nonzero(~valid), strict=True))
         assert (dist[r, c], row[r, c] * 11 + col[r, c]) == pytest.approx(want)
-    pct = kernels.local_percentile(np.where(valid, z, 0), valid, 2, 9)
+
+
+def test_local_share_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    z = rng.integers(0, 9, (9, 11)).astype(float)
+    valid = rng.random(z.shape) > 0.1
+    rows = [(g, int(r), int(c), float(z[r, c]) if g else 4.0) for g in (0, 1) for r, c in zip(*np.nonzero(valid), strict=True)]
+    got = {tuple(r)[:3]: r["share"] for r in raster.local_share(spark.createDataFrame(rows, "grid long, r long, c long, v double"), 2, 9).collect()}
+    assert len(got) == len(rows)
     lo, hi = z[valid].min(), z[valid].max()
     for r, c in zip(*np.nonzero(valid), strict=True):
         box = np.s_[max(0, r - 2) : r + 3, max(0, c - 2) : c + 3]
         cut = lo + (min(8, int((z[r, c] - lo) / (hi - lo) * 9)) + 1) * (hi - lo) / 9
-        assert pct[r, c] == pytest.approx((z[box][valid[box]] <= cut).mean())
+        assert got[1, r, c] == pytest.approx((z[box][valid[box]] <= cut).mean()) and got[0, r, c] == 0.5
 
 
 def test_flow_crosses_a_flat_and_counts_every_cell():

@@ -20,6 +20,29 @@ def box_mean(grid: DataFrame, reach: int) -> DataFrame:
     return grid.join(box, ["r", "c"]).select("r", "c", (F.col("s") / F.col("n")).alias("mean"), F.col("n").cast("long").alias("n"))
 
 
+def local_share(grids: DataFrame, reach: int, bins: int) -> DataFrame:
+    """``grids(grid, r, c, v)`` with ``share``: of the cells in the square around each, how many lie at most at the upper
+    limit of its value's bin; bins are even parts of a grid's range, and a grid of one value has 0.5.
+
+    Values become levels, levels are counted down the columns and then across, so no task holds a grid.
+    """
+    range_ = grids.groupBy("grid").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    x = grids.join(range_, "grid")
+    wide = F.col("hi") - F.col("lo")
+    own = F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("v") - F.col("lo"), wide) * bins))
+    limit = lambda k: F.col("lo") + (k + 1) * wide / bins
+    x = x.withColumn("own", F.coalesce(own, F.lit(0)))
+    level = F.when(F.col("v") <= limit(F.col("own") - 1), F.col("own") - 1).when(F.col("v") <= limit(F.col("own")), F.col("own")).otherwise(F.col("own") + 1)
+    x = x.withColumn("level", level)
+    step = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+    down = x.withColumn("_d", step).groupBy("grid", (F.col("r") + F.col("_d")).alias("r"), "c", "level").agg(F.count(F.lit(1)).alias("n"))
+    across = down.withColumn("_d", step).select("grid", "r", (F.col("c") + F.col("_d")).alias("c"), "level", "n")
+    met = across.join(x.select("grid", "r", "c", "v", "own", (wide > 0).alias("_wide")), ["grid", "r", "c"])
+    below = F.sum(F.when(F.col("level") <= F.col("own"), F.col("n")).otherwise(0))
+    share = F.when(F.first("_wide"), below / F.sum("n").cast("double")).otherwise(0.5)
+    return met.groupBy("grid", "r", "c").agg(F.first("v").alias("v"), share.alias("share"))
+
+
 NEIGHBOURS = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
 
 

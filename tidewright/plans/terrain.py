@@ -30,8 +30,8 @@ def q_focal_stats(s, d):
 @query(f"""with g as ({_DEM}), lim as (select grid, min(v) as lo, max(v) as hi from g group by 1), b as (select g.*, lo, hi, least(63, floor((v - lo) / (hi - lo) * 64)) as bin from g join lim using (grid)),
  k as (select *, lo + (bin + 1) * (hi - lo) / 64 as cut from b) select a.grid, a.r, a.c, round(avg((b.v <= a.cut)::int), 6) as local_percentile from k a join g b on {_NEAR.format(n=5)} group by 1, 2, 3""")
 def q_local_percentile(s, d):
-    x = kernels.apply(dem(s, d), "local_percentile", local_percentile={"reach": 5, "bins": 64})
-    return x.select("grid", "r", "c", r6("local_percentile").alias("local_percentile"))
+    """Share of the cells around that lie no higher than a cell's own bin: levels counted down, then across."""
+    return raster.local_share(dem(s, d), 5, 64).select("grid", "r", "c", r6("share").alias("local_percentile"))
 
 
 @query(f"""with g as ({_DEM}), w as (select * from g where v < 22), p as (select a.grid, a.r, a.c, a.v, b.v as wv, b.r as br, b.c as bc, (a.r - b.r) ** 2 + (a.c - b.c) ** 2 as d2 from g a join w b on a.grid = b.grid),
