@@ -344,3 +344,21 @@ def balanced(df: DataFrame, group: str, weight: str) -> DataFrame:
     """``df`` with weights scaled so that each group's sum is half its number of rows."""
     total = df.groupBy(group).agg(F.greatest(F.sum(weight), F.lit(1.0)).alias("_t"), F.count(F.lit(1)).alias("_n"))
     return df.join(total, group).withColumn(weight, F.col(weight) / F.col("_t") * 0.5 * F.col("_n")).drop("_t", "_n")
+
+
+def first_gains(df: DataFrame, feature: str, bin: str, label: str, growth: Growth | None = None) -> DataFrame:
+    """(feature, gain) of long rows: the most that one split of all rows by a feature gains, from running sums of bins.
+    Features without a split that leaves enough rows on both sides have no row."""
+    from ..functions.stats import running
+
+    p = growth or Growth()
+    share = df.groupBy(feature).agg(F.avg(label).alias("_share"))
+    by = df.groupBy(feature, bin).agg(F.sum(label).alias("_y"), F.count(F.lit(1)).alias("_n"))
+    by = by.join(share, feature).withColumn("_g", F.col("_n") * F.col("_share") - F.col("_y")).withColumn("_h", F.col("_n") * F.col("_share") * (1 - F.col("_share")))
+    up = running(by, bin, {"g": "_g", "h": "_h", "n": "_n"}, (feature,))
+    total = by.groupBy(feature).agg(F.sum("_g").alias("tg"), F.sum("_h").alias("th"), F.sum("_n").alias("tn"))
+    x = up.join(total, feature)
+    worth = lambda g, h: F.pow(F.greatest(F.abs(g) - p.l1, F.lit(0.0)), F.lit(2.0)) / (h + p.l2)
+    gain = worth(F.col("g"), F.col("h")) + worth(F.col("tg") - F.col("g"), F.col("th") - F.col("h")) - worth(F.col("tg"), F.col("th"))
+    x = x.withColumn("gain", gain).filter((F.col("n") >= p.least_rows) & (F.col("tn") - F.col("n") >= p.least_rows))
+    return x.groupBy(feature).agg(F.max("gain").alias("gain"))
