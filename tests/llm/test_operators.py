@@ -159,6 +159,13 @@ def test_decontamination(spark):
     assert got[900]["n_words"] == 0 and not got[900]["contaminated"]
 
 
+def test_items_without_an_id_hit_unnamed(spark):
+    bench = spark.createDataFrame([(None, "lost words here"), (5, "named words there"), (None, "named words there")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate(table(spark, [(1, "the lost words here"), (2, "all named words there"), (2, "all named words there")]), bench).collect()}
+    assert (got[1]["n_hit"], got[1]["items"], got[1]["contaminated"]) == (3, [], True)
+    assert (got[2]["n_hit"], got[2]["items"]) == (3, ["5"])
+
+
 def test_shards_are_even_and_stable(spark):
     old, new = lookup_table([f"s{i}" for i in range(8)]), lookup_table([f"s{i}" for i in range(7)], 800)
     assert max(np.bincount(old)) - min(np.bincount(old)) <= 1 and len(old) == len(new)

@@ -28,7 +28,7 @@ class WindowSet:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in alnum_words(text)]
             take = min(width, len(ids))
             for i in range(len(ids) - take + 1 if take else 0):
-                exact.setdefault(take, {}).setdefault(tuple(ids[i : i + take]), set()).add(str(item))
+                exact.setdefault(take, {}).setdefault(tuple(ids[i : i + take]), set()).update([] if item is None else [str(item)])
         self.exact = exact
         self.hashes = {
             n: np.unique(self.rolled(np.array(list(found), np.int64).ravel(), n)[::n]) for n, found in exact.items()
@@ -121,7 +121,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
 
     ``items`` are the ids (as strings, sorted) of ``benchmark(item_id, text)`` items with a window in the text,
     ``spans`` the merged hit word ranges; contaminated when n_hit > 0 and 20 * n_hit >= n_words.  Null, empty and
-    word-less texts have no words and no hits; word-less items have no windows; an empty benchmark hits nothing.
+    word-less texts have no words and no hits; word-less items have no windows; an empty benchmark hits nothing;
+    windows of an item without an id hit and add no id.
     Rows with equal doc_id are judged one by one.  The benchmark is broadcast in blocks of whole items of at most
     BLOCK_BYTES (a longer item is a block of its own); every block is one pass, and rows carry their hits along.
     """
