@@ -59,7 +59,7 @@ class WindowSet:
             place = np.minimum(np.searchsorted(hashes, acc), len(hashes) - 1)
             for i in at[hashes[place] == acc].tolist():
                 items = self.exact[n].get(tuple(ids[i : i + n].tolist()))
-                if items:
+                if items is not None:
                     out.append((i, i + n, items))
         return out
 
