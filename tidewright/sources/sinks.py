@@ -90,8 +90,22 @@ def write_status(spark: SparkSession, path: str, status: dict) -> None:
 
 
 def mark_once(spark: SparkSession, path: str, note: dict) -> None:
-    """An exclusive marker, set before what may be read once only; a second time raises."""
-    write_text(spark, path, json.dumps(note, sort_keys=True), overwrite=False)
+    """An exclusive marker, set before what may be read once only; a second time, or the later of two writers, raises."""
+    fs, where = _file(spark, path)
+    jvm = spark.sparkContext._jvm
+    try:
+        if fs.getUri().getScheme() == "file":
+            none = spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0)
+            jvm.java.nio.file.Files.createFile(jvm.java.io.File(where.toUri().getPath()).toPath(), none)  # fails where it exists
+            out = fs.create(where, True)
+        else:
+            out = fs.create(where, False)
+    except Exception as e:
+        if "AlreadyExists" in str(e):
+            raise FileExistsError(path) from e
+        raise
+    out.write(bytearray(json.dumps(note, sort_keys=True).encode()))
+    out.close()
 
 
 def freeze(spark: SparkSession, path: str, config: dict) -> dict:
@@ -103,19 +117,30 @@ def freeze(spark: SparkSession, path: str, config: dict) -> dict:
     return config
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """A ledger as text columns; none where there is none.  One that a writer had set aside when it broke off comes back."""
+    fs, where = _file(spark, path)
+    aside = where.suffix(".before")
+    if not fs.exists(where) and fs.exists(aside):
+        fs.rename(aside, where)
+    return spark.read.option("sep", "\t").option("header", True).csv(path) if fs.exists(where) else None
+
+
 def append_ledger(df: DataFrame, path: str) -> None:
-    """Append rows to a tab-separated ledger; a column that either side lacks is empty there.  The rewritten ledger
-    replaces the old one only when it is whole."""
+    """Append rows to a tab-separated ledger; a column that either side lacks is empty there.  The rewritten ledger takes
+    the old one's place when it is whole; until then the old one is there, set aside for a moment at most."""
     spark = df.sparkSession
     fs, where = _file(spark, path)
     new = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
-    if fs.exists(where):
-        new = spark.read.option("sep", "\t").option("header", True).csv(path).unionByName(new, allowMissingColumns=True)
-    beside = where.suffix(".next")
-    new.write.mode("overwrite").option("sep", "\t").option("header", True).csv(beside.toString())
-    delete(spark, path)
+    old = read_ledger(spark, path)
+    beside, aside = where.suffix(".next"), where.suffix(".before")
+    (new if old is None else old.unionByName(new, allowMissingColumns=True)).write.mode("overwrite").option("sep", "\t").option("header", True).csv(beside.toString())
+    delete(spark, aside.toString())
+    if old is not None and not fs.rename(where, aside):
+        raise OSError(f"could not set {path} aside")
     if not fs.rename(beside, where):
         raise OSError(f"could not rename {beside} to {path}")
+    delete(spark, aside.toString())
 
 
 def markdown(title: str, df: DataFrame, most: int = 200) -> str:
