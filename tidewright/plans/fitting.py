@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boosting, pooled, resampling
+from ..operators import boosting, pooled, resampling, selection
 from ..sources import tables as t
 from ..sources.shared import staged_path
 from .catalog import _SCORED, query, r6, scored
@@ -133,3 +133,12 @@ def q_keep_rule(s, d):
     of = lambda c: {y: resampling.replicates(x, "doc_id", y, c, "lang", REPS) for y in ("quality", "toxic")}
     out = resampling.keep_rule(of("score"), of("other"))
     return out.select(*resampling.rounded(out, "keep"))
+
+
+@query()
+def q_candidate_folds(s, d):
+    """Trigger candidates over days left out by year, the index chosen inside each fold, and the one that is best."""
+    days = shipped_days(s, d).groupBy("date", "year").agg(F.max("f1").alias("a"), F.sum("f2").alias("b"), F.avg("f3").alias("c"), F.count(F.lit(1)).cast("double").alias("d"), F.max("label").alias("label"))
+    x = selection.compared(selection.left_out(days, ["a", "b", "c", "d"], "label", "year"))
+    chosen = selection.best(x)
+    return x.select("candidate", r6("auc").alias("auc"), r6("ap").alias("ap"), "n", (F.col("candidate") == chosen).alias("chosen"))
