@@ -135,10 +135,10 @@ def q_paired_days(s, d):
  k as (select *, sum(z) over (partition by rep order by score) - z / 2.0::double as below from w), a as (select rep, sum(p * below) / nullif(sum(p) * sum(z), 0) as auc from k group by 1)
  select round(quantile_cont(auc, 0.025), 6) as low, round(quantile_cont(auc, 0.975), 6) as high from a""")
 def q_auc_interval(s, d):
-    """Interval of the AUC by resampling: rows collapse to scores by replicate before anything is ordered."""
+    """Interval of the AUC by resampling: rows collapse to scores by replicate, running totals go by replicate and range."""
     x = sampling.weighted(scored(s, d).select("doc_id", "score", "quality"), F.col("doc_id").cast("string"), REPS)
     by = x.groupBy("rep", "score").agg(F.sum(F.col("quality") * F.col("w")).alias("p"), F.sum((1 - F.col("quality")) * F.col("w")).alias("z"))
-    k = by.withColumn("below", F.sum("z").over(Window.partitionBy("rep").orderBy("score")) - F.col("z") / F.lit(2.0))
+    k = stats.running(by, "score", {"zc": "z"}, ("rep",)).withColumn("below", F.col("zc") - F.col("z") / F.lit(2.0))
     a = k.groupBy("rep").agg(F.try_divide(F.sum(F.col("p") * F.col("below")), F.sum("p") * F.sum("z")).alias("auc"))
     return a.agg(r6(F.percentile("auc", 0.025)).alias("low"), r6(F.percentile("auc", 0.975)).alias("high"))
 
