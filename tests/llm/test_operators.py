@@ -288,18 +288,48 @@ def test_chain_is_best_against_brute_force():
         assert len(chain) * substring_dedup.K - substring_dedup.GAP_COST * (b1 - b0 + a1 - a0) == pytest.approx(best)
 
 
-def test_large_benchmark_is_scanned_in_blocks(spark, monkeypatch):
+def brute_hits(rows, items, width=13):
+    """(doc_id, n_words, n_hit, items, spans) of every row by looking at each window of each item."""
+    out = []
+    for doc, x in rows:
+        words, hit, named = alnum_words(x), set(), set()
+        for item, y in items:
+            w = alnum_words(y)
+            n = min(width, len(w))
+            wanted = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+            at = [i for i in range(len(words) - n + 1) if tuple(words[i : i + n]) in wanted] if n else []
+            hit |= {(i, i + n) for i in at}
+            named |= {str(item)} if at and item is not None else set()
+        spans = []
+        for i, j in sorted(hit):
+            if spans and i <= spans[-1][1]:
+                spans[-1][1] = max(j, spans[-1][1])
+            else:
+                spans.append([i, j])
+        out.append((doc, len(words), sum(j - i for i, j in spans), sorted(named), spans))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("most", [16_000_000, 300])
+def test_decontamination_equals_brute_force_by_broadcast_and_by_join(spark, monkeypatch, most):
+    monkeypatch.setattr("tidewright.llm.decontam.BLOCK_BYTES", most)
+    monkeypatch.setattr("tidewright.llm.decontam.HOT", 2)  # nearly every window is spread
     rng = random.Random(8)
-    items = [" ".join(invented(rng, 20)) for _ in range(6)]
-    bench = spark.createDataFrame(list(enumerate([*items, None, "one"])), "item_id long, text string")
-    rows = [(1, f"{items[0]} {items[5]}"), (1, items[3] + " x " * 30), (2, f"{items[2]} {items[2]}"), (3, "free"), (None, items[4]), *ODD]
-
-    def found():
-        return sorted(map(str, decontaminate(table(spark, rows), bench).collect()))
-
-    want = found()
-    monkeypatch.setattr("tidewright.llm.decontam.BLOCK_BYTES", 300)
-    assert found() == want
+    texts = [" ".join(invented(rng, 20)) for _ in range(6)]
+    items = [*enumerate([*texts, None, "one", "", "...", f"{texts[1]} {texts[4]}", texts[0]]), (None, texts[5]), (3, "free again"), (3, "free again")]
+    rows = [(1, f"{texts[0]} {texts[5]}"), (1, texts[3] + " x " * 30), (2, f"{texts[2]} {texts[2]}"), (3, "free"), (3, "free"), (None, texts[4]), *ODD]
+    rows += [(20 + k, " ".join(invented(rng, 5)) + " " + texts[k % 3] + " É " + " ".join(invented(rng, 5))) for k in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("row", F.lit("clash"))
+    found = decontaminate(table(spark, rows).withColumn("row", F.lit(1)).repartition(3), bench)
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"], [[x["start"], x["end"]] for x in r["spans"]]) for r in found.collect()]
+    assert sorted(got, key=str) == brute_hits(rows, items)
+    assert decontaminate(table(spark, []), bench).count() == 0
+
+
+def test_wordless_large_benchmark_hits_nothing(spark, monkeypatch):
+    monkeypatch.setattr("tidewright.llm.decontam.BLOCK_BYTES", 3)
+    bench = spark.createDataFrame([(1, "... ... ..."), (2, None)], "item_id long, text string")
+    assert {r["n_hit"] for r in decontaminate(table(spark, made()[:5]), bench).collect()} == {0}
 
 
 def test_chain_takes_best_near_match():

@@ -7,13 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import alnum_words, mix64, saved, small_batches
 
 WIDTH = 13
-#: Benchmark text in bytes that is broadcast at once; a larger benchmark is scanned in so many passes more.
+#: Benchmark text in bytes up to which its windows are broadcast themselves.
 BLOCK_BYTES = 16_000_000
 OUT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
@@ -64,8 +66,8 @@ class WindowSet:
         return out
 
 
-def _scanner(shared, columns: list[str]):
-    """Adds the hits of one block of items to those that the rows carry."""
+def _scanner(shared):
+    """The hits of all items in every text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         windows: WindowSet = shared.value
@@ -85,9 +87,6 @@ def _scanner(shared, columns: list[str]):
             for k, doc in enumerate(batch["doc_id"].tolist()):
                 spans: list[dict] = []
                 items: set[str] = set()
-                if "spans" in batch:
-                    items |= set(batch["items"].iloc[k])
-                    hits.setdefault(k, []).extend((x["start"], x["end"], set()) for x in batch["spans"].iloc[k])
                 for i, j, named in sorted(hits.get(k, []), key=lambda h: h[:2]):
                     items |= named
                     if spans and i <= spans[-1]["end"]:
@@ -95,25 +94,142 @@ def _scanner(shared, columns: list[str]):
                     else:
                         spans.append({"start": i, "end": j})
                 rows.append((doc, int(size[k]), sum(s["end"] - s["start"] for s in spans), sorted(items), spans))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_hit", "items", "spans"])
-            out["text"] = batch["text"].to_numpy()
-            yield out[columns]
+            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_hit", "items", "spans"])
 
     return run
 
 
-def _blocks(bench: DataFrame) -> Iterator[tuple[list[tuple[int, str | None]], bool]]:
-    """Blocks of items, each with whether another follows; one that is empty without items."""
-    block: list[tuple[int, str | None]] = []
-    size = 0
-    for item, text in bench.toLocalIterator():
-        n = len((text or "").encode("utf-8", "replace"))
-        if block and size + n > BLOCK_BYTES:
-            yield block, True
-            block, size = [], 0
-        block.append((item, text))
-        size += n
-    yield block, False
+#: Bits of the filter for each window of a larger benchmark, places that a window sets, and the filter's greatest size (128 MB).
+FILTER_BITS, FILTER_PLACES, FILTER_MOST = 16, 4, 30
+#: Rows that a task of the join gets of one window.
+HOT = 100_000
+CANDIDATES = "array<struct<start:long,n:int,hash:long,words:string>>"
+
+
+def _codes(words: list[bytes]) -> np.ndarray:
+    known: dict[bytes, int] = {}
+    get = xxhash.xxh64_intdigest
+    return np.array([known[w] if w in known else known.setdefault(w, get(w)) for w in words], np.uint64)
+
+
+def _rolled(codes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every ``n`` consecutive words."""
+    acc = np.zeros(max(0, len(codes) - n + 1), np.uint64)
+    for k in range(n):
+        acc = acc * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(acc)]
+    return mix64(acc)
+
+
+def _places(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    for j in range(FILTER_PLACES):
+        yield mix64(hashes + np.uint64(0xD1B54A32D192ED03 * (j + 1) % (1 << 64))) >> np.uint64(64 - bits)
+
+
+def _item_windows(width: int):
+    """(hash, n, words, item) of the windows of items, each once a slice of an item."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for item, text in zip(batch["item"], batch["text"], strict=True):
+                words = alnum_words(text)
+                n = min(width, len(words))
+                hashes = _rolled(_codes(words), n).astype(np.int64) if n else []
+                for low in range(0, len(hashes), 50_000):
+                    found = {b" ".join(words[i : i + n]): hashes[i] for i in range(low, min(low + 50_000, len(hashes)))}
+                    out = pd.DataFrame({"hash": list(found.values()), "n": n, "words": [w.decode() for w in found]})
+                    yield out.assign(item=item)
+
+    return run
+
+
+def _set_bits(bits: int):
+    """(word, bit) of every place that a window sets in the filter."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = np.unique(np.concatenate(list(_places(batch["hash"].to_numpy(np.int64).astype(np.uint64), bits))))
+            yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bit": (at & np.uint64(63)).astype(np.int32)})
+
+    return run
+
+
+def _filter(windows: DataFrame, bits: int) -> np.ndarray:
+    """The filter's 64-bit words, put together by Spark in pieces of at most 1 MB."""
+    size = 1 << max(0, bits - 6)
+    words = windows.select("hash").mapInPandas(_set_bits(bits), "word long, bit int")
+    words = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("v"))
+
+    def piece(rows: pd.DataFrame) -> pd.DataFrame:
+        at = int(rows["word"].iloc[0]) >> 17
+        out = np.zeros(min(size, 1 << 17), np.int64)
+        out[rows["word"].to_numpy() - (at << 17)] = rows["v"].to_numpy()
+        return pd.DataFrame({"at": [at], "v": [out.tobytes()]})
+
+    found = np.zeros(size, np.uint64)
+    for r in words.groupBy(F.shiftright("word", 17)).applyInPandas(piece, "at long, v binary").toLocalIterator():
+        part = np.frombuffer(bytes(r["v"]), np.uint64)
+        found[r["at"] << 17 : (r["at"] << 17) + len(part)] = part
+    return found
+
+
+def _candidates(shared, bits: int, lengths: list[int]):
+    """A row a text with its number of words, then rows of at most 10,000 windows that pass the filter."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words_of: np.ndarray = shared.value
+        for batch in batches:
+            for row, doc, text in batch[["row", "doc_id", "text"]].itertuples(index=False, name=None):
+                words = alnum_words(text)
+                codes = _codes(words)
+                yield pd.DataFrame({"row": [row], "doc_id": pd.array([doc], "Int64"), "n_words": pd.array([len(words)], "Int64"), "found": [[]]})
+                for n in lengths:
+                    hashes = _rolled(codes, n)
+                    at = np.arange(len(hashes))
+                    for place in _places(hashes, bits):
+                        place = place[at]
+                        at = at[(words_of[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+                    signed = hashes.astype(np.int64)
+                    for low in range(0, len(at), 10_000):
+                        part = [
+                            {"start": i, "n": n, "hash": int(signed[i]), "words": b" ".join(words[i : i + n]).decode()}
+                            for i in at[low : low + 10_000].tolist()
+                        ]
+                        yield pd.DataFrame({"row": [row], "doc_id": pd.array([None], "Int64"), "n_words": pd.array([None], "Int64"), "found": [part]})
+
+    return run
+
+
+def _joined(docs: DataFrame, bench: DataFrame, width: int) -> DataFrame:
+    """OUT by a join: windows that pass a broadcast filter of bounded size meet the items' windows, hash and words.
+
+    One pass over the texts whatever the benchmark's size.  Rows of a window that many texts hold are spread over
+    replicas of its items, one for each HOT rows; at most a HOT-th of the candidates has such a list entry, which is broadcast.
+    """
+    spark = docs.sparkSession
+    windows = bench.select(F.col("item_id").cast("string").alias("item"), "text").mapInPandas(_item_windows(width), "hash long, n int, words string, item string")
+    sizes = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most ``width`` rows
+    bits = min(FILTER_MOST, max(10, (FILTER_BITS * sum(sizes.values())).bit_length()))
+    shared = spark.sparkContext.broadcast(_filter(windows, bits))
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
+    scanned = saved(rows.mapInPandas(_candidates(shared, bits, sorted(sizes)), f"row long, doc_id long, n_words long, found {CANDIDATES}"), "scanned")
+    shared.destroy()
+    texts = scanned.filter("n_words is not null").drop("found")
+    found = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*")
+    hot = found.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT)
+    hot = F.broadcast(hot.select("hash", F.ceil(F.col("c") / HOT).cast("int").alias("copies")))
+    copies = F.coalesce("copies", F.lit(1))
+    found = found.join(hot, "hash", "left").withColumn("copy", F.pmod(F.xxhash64("row", "start"), copies).cast("int")).drop("copies")
+    spread = windows.join(hot, "hash", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    hits = saved(found.join(spread, ["hash", "n", "words", "copy"]).select("row", "start", (F.col("start") + F.col("n")).alias("end"), "item").distinct(), "hits")
+    items = hits.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    places = hits.select("row", "start", "end").distinct().withColumn("first", F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int"))
+    places = places.withColumn("span", F.sum("first").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = places.groupBy("row", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    out = texts.join(items, "row", "left").join(spans, "row", "left")
+    columns = {"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>")), "spans": F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>"))}
+    return out.withColumns(columns).select("doc_id", "n_words", "n_hit", "items", "spans")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -123,21 +239,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     ``spans`` the merged hit word ranges; contaminated when n_hit > 0 and 20 * n_hit >= n_words.  Null, empty and
     word-less texts have no words and no hits; word-less items have no windows; an empty benchmark hits nothing;
     windows of an item without an id hit and add no id.
-    Rows with equal doc_id are judged one by one.  The benchmark is broadcast in blocks of whole items of at most
-    BLOCK_BYTES (a longer item is a block of its own); every block is one pass, and rows carry their hits along.
+    Rows with equal doc_id are judged one by one.  The windows of a benchmark of at most BLOCK_BYTES are broadcast; of a
+    larger one a filter is, and what passes it is joined with the windows, so no text is read twice or written.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    bench = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
-    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for block, more in _blocks(bench):
-        shared = spark.sparkContext.broadcast(WindowSet(block, width))
-        schema = f"{OUT}, text string" if more else OUT
-        scanned = scanned.mapInPandas(_scanner(shared, [c.split()[0] for c in schema.split(", ")]), schema)
-        if more:
-            scanned = saved(scanned, "scanned")
-            shared.destroy()
-    return scanned.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+    bench = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).filter("octet_length(text) > 0")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if (bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > BLOCK_BYTES:
+        found = _joined(docs, bench, width)
+    else:
+        shared = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in bench.collect()], width))
+        found = docs.mapInPandas(_scanner(shared), OUT)
+    return found.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
 def item_digest(items) -> str:
