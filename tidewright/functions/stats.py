@@ -55,8 +55,8 @@ def ecdf(df: DataFrame, value: str, out: str) -> DataFrame:
 def foreign_le(ref: DataFrame, probe: DataFrame, value: str) -> DataFrame:
     """(value, le) for every distinct probe value: reference rows at most it, by one merged running total."""
     marks = ref.select(value, F.lit(1).alias("k")).union(probe.select(value, F.lit(0)))
-    marks = marks.filter(F.col(value).isNotNull()).groupBy(value).agg(F.sum("k").alias("k"))
-    return running(marks, value, {"le": "k"}).select(value, "le").join(probe.select(value).distinct(), value, "left_semi")
+    marks = marks.filter(F.col(value).isNotNull()).groupBy(value).agg(F.sum("k").alias("k"), F.bool_or(F.col("k") == 0).alias("_asked"))
+    return running(marks, value, {"le": "k"}).filter("_asked").select(value, "le")
 
 
 def row_ranks(df: DataFrame, score: str, *ties: Column, out: str = "rn") -> DataFrame:

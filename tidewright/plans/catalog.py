@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import stats, text
 from ..operators import evidence, raster, series, spatial
 from ..sources import tables as t
+from ..sources.shared import staged
 
 # Day-state limits and rain coefficients of the pooled trigger.
 Q_WATCH, Q_ALERT = 0.5093524878214044, 0.5395158283433458
@@ -93,7 +94,7 @@ def level_of(band, trigger):
  (case when trig >= {Q_ALERT} then band when trig >= {Q_WATCH} then greatest(0, band - 1) else 0 end)::integer as level from c, h""")
 def q_risk_levels(s, d):
     """The flagship: percentile, history, hybrid score, bands, three horizons, probability and level."""
-    b = banded(susceptibility(s, d), "s_rain", "s_model", "route_id")
+    b = banded(staged(susceptibility(s, d), "susceptibility"), "s_rain", "s_model", "route_id")
     h = F.explode(F.array(*[F.struct(F.lit(k).alias("horizon_h"), F.lit(x).alias("trig")) for k, x in HORIZONS]))
     x = b.withColumn("h", h).select("route_id", "s_model", "s_rain", "band", "h.horizon_h", "h.trig")
     return x.select("route_id", r6("s_model").alias("s_model"), r6("s_rain").alias("s_rain"), "band", "horizon_h", r6(F.col("s_rain") * F.col("trig")).alias("p"), level_of(F.col("band"), F.col("trig")).alias("level"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import stats
 from ..operators import evidence, series, triggers
 from ..sources import tables as t
+from ..sources.shared import staged
 from .catalog import _AT, _HOURLY, _SUSC, Q_ALERT, Q_WATCH, banded, query, r6, susceptibility
 
 FIELDS = ("total", "max_1h", "max_3h", "max_6h", "prev_24h", "prev_72h", "prev_7d", "hours")
@@ -64,10 +65,14 @@ _LIVE = f"""h as ({_HOURLY}), {_CITY_HOURS}, v as (select unnest([0, 1, 2])::int
  live as (select horizon_h, valid_time, count(mm) as hours, max(case when n3 = 3 then s3 end) as max_3h, (select sum(mm) from c where hour > valid_time - interval 24 hours and hour <= valid_time) as total_24h from six group by 1, 2)"""
 
 
-def live_windows(s, d):
+def city_hours(s, d):
+    """The highest cell of every hour, staged: measurements are read once, however many windows ask."""
+    return staged(t.hourly(s, d).groupBy("hour").agg(F.max("mm").alias("mm")), "city-hours")
+
+
+def live_windows(s, d, city=None):
     """The trailing windows of three hours to come; fewer than six hours of rain fail the job."""
-    city = t.hourly(s, d).groupBy("hour").agg(F.max("mm").alias("mm"))
-    return triggers.trailing_windows(city, _AT, 3)
+    return triggers.trailing_windows(city_hours(s, d) if city is None else city, _AT, 3)
 
 
 @query(f"with {_LIVE} select horizon_h, valid_time, round(max_3h, 6) as max_3h, round(total_24h, 6) as total_24h from live")
@@ -86,14 +91,11 @@ _LIVE_T = f"""{_LIVE},
 
 def live_trigger(s, d):
     """Percentiles of the live windows in the stored reference days, and the trigger's probability."""
-    city = t.hourly(s, d).groupBy("hour").agg(F.max("mm").alias("mm"))
+    city = city_hours(s, d)
     ref = city.filter(F.col("hour") < F.lit("2024-01-20").cast("timestamp_ntz")).groupBy(F.to_date("hour").alias("date")).agg(F.max("mm").alias("m1"), F.sum("mm").alias("tot"))
-    live = live_windows(s, d)
-    n = ref.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    q3 = stats.foreign_le(ref.select(F.col("m1").alias("v")), live.select(F.col("max_3h").alias("v")), "v").toDF("max_3h", "l3")
-    qt = stats.foreign_le(ref.select(F.col("tot").alias("v")), live.select(F.col("total_24h").alias("v")), "v").toDF("total_24h", "lt")
-    x = live.join(q3, "max_3h").join(qt, "total_24h").crossJoin(F.broadcast(n))
-    x = x.withColumn("q3", F.col("l3") / F.col("n")).withColumn("qt", F.col("lt") / F.col("n"))
+    live = live_windows(s, d, city)
+    below = lambda c, v: (F.count_if(F.col(c) <= F.col(v)) / F.count(F.lit(1)).cast("double"))
+    x = ref.crossJoin(F.broadcast(live)).groupBy("horizon_h", "valid_time").agg(below("m1", "max_3h").alias("q3"), below("tot", "total_24h").alias("qt"))  # three live rows
     z = triggers.logit(F.col("q3")) * COEF[0] + triggers.logit(F.col("qt")) * COEF[1] + CONSTANT
     return x.select("horizon_h", "valid_time", "q3", "qt", triggers.expit(z).alias("t_rain"))
 
@@ -155,7 +157,7 @@ def labelled_days(s, d):
  select round(hi, 6) as t_hi, round(sens, 6) as sensitivity, round(quiet, 6) as quiet, ok as targets_met from f order by ok desc, case when ok then hi end desc nulls last, case when ok then quiet end desc nulls last, case when not ok then worst end desc nulls last, case when not ok then sens + quiet end desc nulls last, hi desc limit 1""")
 def q_alert_limit(s, d):
     """The alert limit: the highest of 101 quantiles that meets both targets, else the best compromise."""
-    best = triggers.choose_limits(labelled_days(s, d), 100, 0.7, 0.8)
+    best = triggers.choose_limits(staged(labelled_days(s, d), "labelled-days"), 100, 0.7, 0.8)
     return best.select(r6("hi").alias("t_hi"), r6("sens").alias("sensitivity"), r6("quiet").alias("quiet"), F.col("ok").alias("targets_met"))
 
 
@@ -221,7 +223,7 @@ _STATE = f"case when t_rain >= {Q_ALERT} then 2 when t_rain >= {Q_WATCH} then 1
  from bd left join dep using (route_id), st""")
 def q_risk_hourly(s, d):
     """The hourly product: every route at three hours, with the live trigger; three rows are broadcast."""
-    b = banded(susceptibility(s, d), "s_rain", "s_model", "route_id")
+    b = banded(staged(susceptibility(s, d), "susceptibility"), "s_rain", "s_model", "route_id")
     past = t.records(s, d).filter(F.col("date") < F.lit(t.CUTOFF).cast("date")).groupBy("route_id").agg(F.max("depth_cm").alias("depth"))
     state = F.when(F.col("t_rain") >= Q_ALERT, 2).when(F.col("t_rain") >= Q_WATCH, 1).otherwise(0)
     x = b.join(past, "route_id", "left").crossJoin(F.broadcast(live_trigger(s, d).withColumn("state", state)))
