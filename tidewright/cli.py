@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 
 def catalogue() -> dict:
-    from .plans import catalog, decisions, evaluation, intake, models, scoring, terrain  # noqa: F401  all add to it
+    from .plans import catalog, decisions, evaluation, fitting, intake, models, places, reporting, scoring, terrain  # noqa: F401  all add to it
 
     return catalog.QUERIES
 

@@ -59,15 +59,20 @@ def foreign_le(ref: DataFrame, probe: DataFrame, value: str) -> DataFrame:
     return running(marks, value, {"le": "k"}).filter("_asked").select(value, "le")
 
 
-def row_ranks(df: DataFrame, score: str, *ties: Column, out: str = "rn") -> DataFrame:
-    """Row number by ``score`` descending, then ``ties``; rows without a score go.  Ranges are cut by score and ties, so
-    equal scores need not be in one task."""
+def row_ranks(df: DataFrame, score: str, *ties: Column, out: str = "rn", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Row number by ``score`` descending, then ``ties``, within ``keys``; rows without a score go.  Ranges are cut by score
+    and ties, so neither equal scores nor the rows of a key need be in one task."""
     order = [F.desc(score), *ties]
     rows = ranged(df.filter(F.col(score).isNotNull()), *order)
-    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    start = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return rows.withColumn("_in", inside).join(F.broadcast(start), "_b").withColumn(out, F.col("_above") + F.col("_in")).drop("_in", "_above", "_b")
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a range of a key
+    start = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    start = start.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_k"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above"))
+    same = F.col("_b") == F.col("_k")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
+    joined = rows.withColumn("_in", inside).join(F.broadcast(start), same)
+    return joined.withColumn(out, F.col("_above") + F.col("_in")).select(*df.columns, out)
 
 
 def rank_bins(rn: Column, n: Column, q: int) -> Column:

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Factors on the odds and the half-life in minutes.
 FLOODED, OFFICIAL, HALF_LIFE = 3.0, 10.0, 30.0
 
 
 def deduplicate(df: DataFrame, minutes: int = 30) -> DataFrame:
-    """(user_id, route_id, ts) of kept reports: a report stays if the last kept one is at least ``minutes`` older."""
-    rows = df.groupBy("user_id", "route_id").agg(F.sort_array(F.collect_set("ts")).alias("all"))
+    """(user_id, route_id, ts) of kept reports: a report stays if the last kept one is at least ``minutes`` older.
+
+    A report that far after the one before it always stays, so only the chains between such reports are folded."""
+    w = Window.partitionBy("user_id", "route_id").orderBy("ts")
+    far = F.coalesce(F.col("ts") >= F.lag("ts").over(w) + F.expr(f"interval {minutes} minutes"), F.lit(True))
+    rows = df.select("user_id", "route_id", "ts").filter("ts is not null").distinct().withColumn("_far", far.cast("long"))
+    rows = rows.withColumn("_chain", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.groupBy("user_id", "route_id", "_chain").agg(F.sort_array(F.collect_list("ts")).alias("all"))
     step = F.expr(f"aggregate(all, cast(array() as array<timestamp_ntz>), (k, t) -> case when size(k) = 0 or t >= element_at(k, -1) + interval {minutes} minutes then array_append(k, t) else k end)")
     return rows.select("user_id", "route_id", F.explode(step).alias("ts"))
 

@@ -6,7 +6,8 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..functions import stats
 
 #: Cumulative Poisson(1) probabilities.
 POISSON = (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941)
@@ -24,9 +25,9 @@ def hashed(df: DataFrame, key: str, seed: int, most: int) -> DataFrame:
 def matched(df: DataFrame, id: str, key: str, rare: str, seed: int) -> DataFrame:
     """(id, key): for every key with rare rows, as many of its other rows by least hash, one at least."""
     want = df.groupBy(key).agg(F.count_if(F.col(rare)).alias("_n")).filter("_n > 0").withColumn("_n", F.greatest(F.lit(1), "_n"))
-    w = Window.partitionBy(key).orderBy(_hash(id, seed), id)
-    rest = df.filter(~F.col(rare)).withColumn("_at", F.row_number().over(w))
-    return rest.join(F.broadcast(want), key).filter("_at <= _n").select(id, key)
+    rest = df.filter(~F.col(rare)).select(id, key, _hash(id, seed).alias("_h"), F.lit(1).alias("_one"))
+    rest = stats.running(rest, "_h", {"_at": "_one"}, (key,))  # no key is ordered by one task
+    return rest.join(want, key).filter("_at <= _n").select(id, key)
 
 
 def blocks(df: DataFrame, size: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +41,9 @@ def point_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by
 RADIUS, NAMED_RADIUS, NEAR, SIMILAR = 150.0, 500.0, 40.0, 0.55
 
 
-def match_records(records: DataFrame, routes: DataFrame) -> DataFrame:
+def match_records(records: DataFrame, routes: DataFrame, similarity: Callable[[Column, Column], Column] = text.name_similarity) -> DataFrame:
     """``records(record_id, raw, location_precision, x, y)`` to ``routes(route_id, name_norm, named, line)``: record_id,
-    route_id, match_type, dist.
+    route_id, match_type, dist.  ``similarity`` compares two normalised names.
 
     A segment is put into every cell that it crosses, with a margin of the wider radius, so a record meets its cell only.
     """
@@ -56,7 +58,7 @@ def match_records(records: DataFrame, routes: DataFrame) -> DataFrame:
     dist = point_segment(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])
     near = rec.join(ends, ["gx", "gy"]).withColumn("dist", dist).filter("dist <= radius")
     near = near.groupBy("record_id", "norm", "route_id", "name_norm", "named").agg(F.min("dist").alias("dist"))
-    alike = F.when(F.col("named"), text.name_similarity(F.col("norm"), F.col("name_norm"))).otherwise(F.lit(0.0))
+    alike = F.when(F.col("named"), similarity(F.col("norm"), F.col("name_norm"))).otherwise(F.lit(0.0))
     pairs = near.select(F.col("record_id").alias("id"), F.col("route_id").alias("rid"), "dist", alike.alias("similarity"))
     found = best_match(records.select(F.col("record_id").alias("id")), pairs, SIMILAR, NEAR)
     return found.select(F.col("id").alias("record_id"), F.col("rid").alias("route_id"), "match_type", "dist")

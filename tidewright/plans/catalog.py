@@ -375,8 +375,9 @@ def q_topk_budget(s, d):
 
 @query("select c_custkey, c_mktsegment from (select *, row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) as rn, count(*) over (partition by c_mktsegment) as n from customer) where rn <= greatest(1, ceil(n * 0.1::double))")
 def q_topk_stratum(s, d):
-    w = Window.partitionBy("c_mktsegment")
-    x = t.table(s, d, "customer").withColumn("rn", F.row_number().over(w.orderBy(F.desc("c_acctbal"), "c_custkey"))).withColumn("n", F.count(F.lit(1)).over(w))
+    x = t.table(s, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    n = x.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    x = stats.row_ranks(x, "c_acctbal", F.col("c_custkey"), keys=("c_mktsegment",)).join(n, "c_mktsegment")
     return x.filter(F.col("rn") <= F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(0.1)))).select("c_custkey", "c_mktsegment")
 
 
@@ -419,8 +420,8 @@ def q_recall_fractional(s, d):
 @query(f"""with x as ({_SCORED}), r as (select *, row_number() over (partition by lang order by score desc, doc_id) as rn, count(*) over (partition by lang) as n from x)
  select lang, sum(quality)::bigint as pos, sum(case when rn <= greatest(1, ceil(n * 0.1::double)) then quality else 0 end)::bigint as hits from r group by 1""")
 def q_strat_recall(s, d):
-    w = Window.partitionBy("lang")
-    x = scored(s, d).withColumn("rn", F.row_number().over(w.orderBy(F.desc("score"), "doc_id"))).withColumn("n", F.count(F.lit(1)).over(w))
+    x = stats.row_ranks(scored(s, d), "score", F.col("doc_id"), keys=("lang",))
+    x = x.join(x.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang")
     top = F.col("rn") <= F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(0.1)))
     return x.groupBy("lang").agg(F.sum("quality").alias("pos"), F.sum(F.when(top, F.col("quality")).otherwise(0)).alias("hits"))
 

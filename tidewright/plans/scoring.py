@@ -79,9 +79,9 @@ def q_qcut_bins(s, d):
  select bin, sum(quality)::bigint as pos, sum(case when place <= greatest(1, ceil(size * 0.1::double)) then quality else 0 end)::bigint as hits from m group by 1""")
 def q_prop_recall(s, d):
     """Hits in the top tenth of each exposure decile."""
-    counts = F.broadcast(deciles(s, d).groupBy("bin").agg(F.count(F.lit(1)).alias("size")))  # ten rows
-    at = F.row_number().over(Window.partitionBy("bin").orderBy(F.desc(F.col("doc_id") * 37 % 101), "doc_id"))
-    x = deciles(s, d).withColumn("at", at).join(counts, "bin")
+    b = deciles(s, d).withColumn("order", F.col("doc_id") * 37 % 101)
+    counts = F.broadcast(b.groupBy("bin").agg(F.count(F.lit(1)).alias("size")))  # ten rows
+    x = stats.row_ranks(b, "order", F.col("doc_id"), out="at", keys=("bin",)).join(counts, "bin")
     top = F.col("at") <= F.greatest(F.lit(1), F.ceil(F.col("size") * F.lit(0.1)))
     return x.groupBy("bin").agg(F.sum("quality").cast("long").alias("pos"), F.sum(F.when(top, F.col("quality")).otherwise(0)).cast("long").alias("hits"))
 
