@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import duckdb
 import numpy as np
@@ -165,3 +166,46 @@ def test_model_scores_are_whole_and_rank_the_fitted_rows(spark, name):
     wanted = (lambda y: y >= 5) if name == "q_gbt_scores" else (lambda y: y == 0)
     pos, neg = [[r["score"] for r in rows if wanted(r["label"]) == k] for k in (True, False)]
     assert sum(a > b for a in pos for b in neg) > 0.7 * len(pos) * len(neg)
+
+
+def test_nearest_of_a_kind_with_copies_and_odd_rows(spark):
+    """Against all pairs: copies, repeated ids, a dense spot, missing and infinite coordinates, points on the limit."""
+    rng = random.Random(5)
+    rows = [(i, rng.gauss(0, 0.1), rng.gauss(0, 0.1)) for i in range(150)]
+    rows += [(200 + i, 0.25, 0.25) for i in range(30)] + [(300 + i, 0.3 + rng.gauss(0, 1e-5), -0.3) for i in range(30)]
+    rows += [(7, 0.5, 0.5), (9, 5.0, 5.0), (12, 5.05, 5.0), (400, None, 0.0), (401, float("nan"), 0.0), (402, float("inf"), 0.0), (None, 0.25, 0.25), (403, 9.0, 9.0)]
+    df = spark.createDataFrame([(*r, None if r[0] is None else r[0] % 3) for r in rows], "id long, x double, y double, kind long")
+    want = {}
+    for i, x, y in rows:
+        for j, rx, ry in rows:
+            if None in (i, j, x, rx) or i == j:
+                continue
+            d = math.sqrt((x - rx) ** 2 + (y - ry) ** 2)
+            r = 0 if i % 3 == j % 3 and d <= 0.05 else 1 if i % 3 != j % 3 and d <= 0.02 else None
+            if r is not None:
+                want[i] = min(want.get(i, (9,)), (r, d, j))
+    got = spatial.match_kinds(df, "kind", 0.05, 0.02).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        kind, dist, rid = want.get(r["id"], (None, None, None))
+        assert (r["match_type"], r["rid"], r["dist"]) == ({0: "name+distance", 1: "distance", None: "unmatched"}[kind], rid, dist), r
+
+
+def test_nearest_cell_makes_no_row_a_pair(spark, tmp_path, capsys):
+    spark.createDataFrame([(i,) for i in range(25)], "n_nationkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(5,), (5,), (None,), (17,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    from tidewright.plans.catalog import q_nearest_cell
+
+    x = q_nearest_cell(spark, str(tmp_path))
+    at = lambda k: min(range(25), key=lambda n: (round((k % 25 - n * 3.7 % 25) ** 2 + (k % 11 - n * 1.3 % 11) ** 2, 9), n))
+    assert {r["c_custkey"]: r["cell"] for r in x.collect()} == {5: at(5), 17: at(17), None: 0} and x.count() == 3
+    x.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
+
+
+def test_quantiles_between_rows(spark):
+    """Against numpy: repeated values, a place on a row and between two, nulls, one value, none."""
+    for v in ([3.5, 1.0, 1.0, 1.0, 2.25, 9.0, None], [4.0], [1.0, 2.0], list(map(float, range(11)))):
+        got = stats.quantiles(spark.createDataFrame([(x,) for x in v], "v double"), "v", {"a": 0.1, "b": 0.5, "c": 0.9}).first()
+        assert tuple(got) == pytest.approx(tuple(np.quantile([x for x in v if x is not None], [0.1, 0.5, 0.9])))
+    assert tuple(stats.quantiles(spark.createDataFrame([(None,)], "v double"), "v", {"a": 0.1}).first()) == (None,)

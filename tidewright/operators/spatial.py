@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.shared import staged
 
 
 def distance_join(left: DataFrame, right: DataFrame, radius: float, how: Column | None = None) -> DataFrame:
@@ -15,12 +16,73 @@ def distance_join(left: DataFrame, right: DataFrame, radius: float, how: Column
     cell = lambda c: F.floor(F.col(c) / F.lit(radius))
     near = F.explode(F.array(*[F.struct((cell("rx") + i).alias("gx"), (cell("ry") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     spread = right.withColumn("_g", near).select(*right.columns, F.col("_g.gx").alias("gx"), F.col("_g.gy").alias("gy"))
-    pairs = left.withColumn("gx", cell("x")).withColumn("gy", cell("y")).join(spread, ["gx", "gy"])
+    pairs = left.withColumn("gx", cell("x")).withColumn("gy", cell("y")).join(spread.hint("merge"), ["gx", "gy"])  # nine times what Spark takes it for
     dist = F.sqrt((F.col("x") - F.col("rx")) ** 2 + (F.col("y") - F.col("ry")) ** 2)
     pairs = pairs.withColumn("dist", dist).filter(F.col("dist") <= radius)
     return (pairs.filter(how) if how is not None else pairs).drop("gx", "gy")
 
 
+def _dist(x: str, y: str, rx: str, ry: str) -> Column:
+    return F.sqrt((F.col(x) - F.col(rx)) ** 2 + (F.col(y) - F.col(ry)) ** 2)
+
+
+def _finite(df: DataFrame) -> DataFrame:
+    """Rows with an id and a place; a null, NaN or infinite coordinate is near nothing."""
+    real = lambda c: F.abs(F.col(c)) < float("inf")
+    return df.filter(F.col("id").isNotNull() & real("x") & real("y"))
+
+
+#: Most places in a cell of the first search, and the most halvings of the radius for it.
+CROWD, HALVINGS = 16, 20
+
+
+def nearest(points: DataFrame, kind: str, radius: float) -> DataFrame:
+    """(id, rid, dist) of points(id, x, y, kind): the nearest point of the same kind and another id at most ``radius``
+    away, ties by rid; ids without one have no row.
+
+    The search begins at a radius whose cells hold few places, and doubles it for those that found none.  Such points lie
+    apart by the radius before, so a cell has few of them and its rows are met a bounded number of times: no list of all
+    pairs.  Copies are one place with its two least ids, as one of them may be the point's own.
+    """
+    key = ["x", "y", kind]
+    rows = staged(_finite(points).filter(F.col(kind).isNotNull()).select("id", *[(F.col(c) + 0.0).alias(c) for c in "xy"], kind), "points")
+    least = rows.groupBy(*key).agg(F.min("id").alias("rid"), F.max("id").alias("_most"))
+    second = rows.join(least.filter("rid < _most").hint("merge"), key).filter("id > rid").groupBy(*key).agg(F.min("id").alias("other"))
+    places = staged(least.drop("_most").join(second.hint("merge"), key, "left").withColumnsRenamed({"x": "rx", "y": "ry"}), "places")
+    width = lambda k: radius / 2**k * (1 + 1e-9)  # noqa: E731  a margin over rounding
+    cell = lambda c, k: F.floor(F.col(c) / F.lit(width(k)))
+    level = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), cell("rx", k).alias("gx"), cell("ry", k).alias("gy")) for k in range(HALVINGS + 1)])).alias("c")
+    crowd = places.select(kind, level).groupBy(kind, "c").agg(F.count(F.lit(1)).alias("n")).groupBy("c.k").agg(F.max("n").alias("n"))
+    first = crowd.filter(F.col("n") <= CROWD).agg(F.min("k")).first()[0]
+    found, left = None, rows
+    for k in range(HALVINGS if first is None else first, -1, -1):
+        around = F.explode(F.array(*[F.struct((cell("x", k) + i).alias("gx"), (cell("y", k) + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")
+        asked = left.select("*", around).select("id", *key, "c.gx", "c.gy")
+        near = asked.join(places.withColumn("gx", cell("rx", k)).withColumn("gy", cell("ry", k)).hint("merge"), [kind, "gx", "gy"])
+        near = near.withColumn("rid", F.when(F.col("rid") != F.col("id"), F.col("rid")).otherwise(F.col("other"))).withColumn("dist", _dist("x", "y", "rx", "ry"))
+        best = near.filter(F.col("rid").isNotNull() & (F.col("dist") <= radius / 2**k)).groupBy("id").agg(F.min(F.struct("dist", "rid")).alias("m"))
+        best = staged(best.select("id", "m.rid", "m.dist"), "nearest")
+        found = best if found is None else found.unionByName(best)
+        if k:
+            left = staged(left.join(best.hint("merge"), "id", "left_anti"), "alone")
+            if left.isEmpty():
+                break
+    return found
+
+
+def match_kinds(points: DataFrame, kind: str, radius: float, far: float) -> DataFrame:
+    """Per row of points(id, x, y, kind) what ``best_match`` tells of pairs up to ``radius`` apart, where points of one
+    kind are similar: the nearest of the same kind, else the nearest within ``far``, else unmatched."""
+    same = staged(nearest(points, kind, radius), "same")
+    alone = points.join(same.hint("merge"), "id", "left_anti")
+    # Those of one kind lie further apart than the radius, so a cell has few of them.
+    pairs = distance_join(_finite(alone).select("id", "x", "y"), _finite(points).select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry")), min(radius, far), F.col("id") != F.col("rid"))
+    other = pairs.groupBy("id").agg(F.min(F.struct("dist", "rid")).alias("m"))
+    both = same.withColumn("match_type", F.lit("name+distance")).unionByName(other.select("id", "m.rid", "m.dist", F.lit("distance").alias("match_type")))
+    out = points.select("id").join(both.hint("merge"), "id", "left")
+    return out.select("id", "rid", F.coalesce("match_type", F.lit("unmatched")).alias("match_type"), "dist")
+
+
 def best_match(records: DataFrame, pairs: DataFrame, similar: float = 0.55, far: float = 40.0) -> DataFrame:
     """Per record(id): the nearest similar partner, else the nearest within ``far``, else unmatched; ties by rid."""
     rank = F.when(F.col("similarity") >= similar, 0).when(F.col("dist") <= far, 1)
