@@ -41,6 +41,21 @@ def value_ranks(df: DataFrame, value: str) -> DataFrame:
     return running(counts, value, {"le": "c"}).crossJoin(F.broadcast(n))
 
 
+def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row of exact quantiles (new name: share) of the non-null values, between the two rows around as ``percentile``
+    tells; from running counts of distinct values, so no task holds them all.  Without values all are null."""
+    r = value_ranks(df.select(F.col(value).cast("double").alias("_v")), "_v")
+    out = []
+    for name, q in shares.items():
+        at = F.lit(q) * (F.col("n") - 1)  # the place among the rows, from 0
+        holds = lambda k: (F.col("le") > k) & (F.col("le") - F.col("c") <= k)
+        low, high = (F.max(F.when(holds(f(at)), F.col("_v"))) for f in (F.floor, F.ceil))
+        at = F.lit(q) * (F.max("n") - 1)
+        between = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
+        out.append(F.when((F.floor(at) == F.ceil(at)) | (low == high), low).otherwise(between).alias(name))
+    return r.agg(*out)
+
+
 def percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Average-rank percentile over non-null rows; null stays null."""
     r = value_ranks(df, value).withColumn(out, (F.col("le") - (F.col("c") - 1) / F.lit(2.0)) / F.col("n"))
