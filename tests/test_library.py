@@ -209,3 +209,24 @@ def test_quantiles_between_rows(spark):
         got = stats.quantiles(spark.createDataFrame([(x,) for x in v], "v double"), "v", {"a": 0.1, "b": 0.5, "c": 0.9}).first()
         assert tuple(got) == pytest.approx(tuple(np.quantile([x for x in v if x is not None], [0.1, 0.5, 0.9])))
     assert tuple(stats.quantiles(spark.createDataFrame([(None,)], "v double"), "v", {"a": 0.1}).first()) == (None,)
+
+
+def test_groups_within_equal_all_pairs(spark):
+    """Dense and thin spots, copies, repeated ids, points on the limit and odd rows, against a search over all pairs."""
+    rng = random.Random(8)
+    rows = [(i, rng.gauss(0, 0.12), rng.gauss(0, 0.12)) for i in range(260)] + [(300 + i, 0.5 + rng.gauss(0, 0.008), 0.5 + rng.gauss(0, 0.008)) for i in range(60)]
+    rows += [(400 + i, 2.0, 2.0) for i in range(5)] + [(500 + i, 3 + i / 64, 0.0) for i in range(9)] + [(3, 2.0, 2.0), (600, float("nan"), 0.0), (601, None, 0.0), (602, float("inf"), 0.0)]
+    least = {i: i for i, _, _ in rows}
+
+    def top(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i, x, y in rows:
+        for j, rx, ry in rows:
+            if x is not None and rx is not None and math.sqrt((x - rx) ** 2 + (y - ry) ** 2) <= 1 / 64:
+                a, b = sorted((top(i), top(j)))
+                least[b] = a
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    assert dict(spatial.groups_within(df, 1 / 64).collect()) == {i: top(i) for i in least}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.shared import staged
+from . import graph
 
 
 def distance_join(left: DataFrame, right: DataFrame, radius: float, how: Column | None = None) -> DataFrame:
@@ -91,6 +92,45 @@ def best_match(records: DataFrame, pairs: DataFrame, similar: float = 0.55, far:
     return records.join(best, "id", "left").select("id", F.col("m.rid").alias("rid"), kind.alias("match_type"), F.col("m.dist").alias("dist"))
 
 
+def groups_within(points: DataFrame, radius: float) -> DataFrame:
+    """points(id, x, y) to (id, comp): groups of points linked where at most ``radius`` apart, named by their least id.
+
+    All points of a cell lie within the radius and follow its least id.  Two cells are linked at once where points at
+    their far sides are near; only cells that these links leave in different groups, and whose bounds come near, are
+    joined point by point.  Coordinates count up to 1e15 radii.
+    """
+    width = radius / 1.5
+    at = [F.floor(F.col(c) / F.lit(width)).alias(g) for c, g in (("x", "gx"), ("y", "gy"))]
+    rows = staged(_finite(points).select("id", *[(F.col(c) + 0.0).alias(c) for c in "xy"]).select("*", *at), "points")
+    far = lambda a, b: F.struct((F.col("x") * a + F.col("y") * b).alias("o"), "x", "y")
+    ways = [(1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)]
+    ends = F.array(*[F.max(far(*w)) for w in ways]).alias("ends")
+    bounds = [f(c).alias(n) for f, c, n in ((F.min, "x", "x0"), (F.max, "x", "x1"), (F.min, "y", "y0"), (F.max, "y", "y1"))]
+    cells = staged(rows.groupBy("gx", "gy").agg(F.min("id").alias("least"), ends, *bounds), "cells")
+    beside = F.explode(F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)])).alias("c")
+    a = cells.select(*[F.col(c).alias(f"a_{c}") for c in cells.columns], beside).select("*", "c.gx", "c.gy").drop("c")
+    pairs = a.join(cells.hint("merge"), ["gx", "gy"])
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"a_{c}0") - F.col(f"{c}1"), F.col(f"{c}0") - F.col(f"a_{c}1"))
+    pairs = pairs.filter(gap("x") ** 2 + gap("y") ** 2 <= radius**2 * (1 + 1e-9))
+    near = lambda p, q: F.sqrt((p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2) <= radius
+    sure = F.exists("a_ends", lambda p: F.exists("ends", lambda q: near(p, q)))
+    pairs = staged(pairs.withColumn("sure", sure).drop("ends", "a_ends"), "pairs")
+    links = pairs.filter("sure").select(F.col("a_least").alias("a"), F.col("least").alias("b"))
+    comp = graph.components(cells.select(F.col("least").alias("id")), links)
+    of = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp")).hint("merge")
+    open_ = pairs.filter("not sure").join(of("a_least"), "a_least").join(of("least"), "least").filter("a_least_comp <> least_comp")
+    open_ = staged(open_.drop("sure", "a_least_comp", "least_comp"), "open")
+    margin = radius * (1 + 1e-9)
+    within = lambda p: (F.col("x") >= F.col(f"{p}x0") - margin) & (F.col("x") <= F.col(f"{p}x1") + margin) & (F.col("y") >= F.col(f"{p}y0") - margin) & (F.col("y") <= F.col(f"{p}y1") + margin)
+    left = rows.join(open_.drop("gx", "gy").withColumnsRenamed({"a_gx": "gx", "a_gy": "gy"}).hint("merge"), ["gx", "gy"]).filter(within(""))
+    right = rows.join(open_.hint("merge"), ["gx", "gy"]).filter(within("a_"))
+    key = ["a_least", "least"]
+    left, right = left.select(*key, "x", "y").distinct(), right.select(*key, F.col("x").alias("rx"), F.col("y").alias("ry")).distinct()
+    exact = left.join(right.hint("merge"), key).filter(_dist("x", "y", "rx", "ry") <= radius).select(*key).distinct().toDF("a", "b")
+    star = rows.join(cells.select("gx", "gy", "least").hint("merge"), ["gx", "gy"]).select(F.col("id").alias("a"), F.col("least").alias("b"))
+    return graph.components(points, star.unionByName(links).unionByName(exact))
+
+
 def point_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Distance from a point to a segment."""
     dx, dy = bx - ax, by - ay

@@ -15,9 +15,7 @@ BAGS, NEGATIVES = 30, 5
  r as (select id, id as comp from p union select e.b, r.comp from r join e on e.a = r.id) select id, min(comp) as comp from r group by 1""")
 def q_components(s, d):
     """Groups of points within 0.02 of one another, named by their least id."""
-    p = points(s, d)
-    pairs = spatial.distance_join(p, p.toDF("rid", "rx", "ry"), 0.02, F.col("id") < F.col("rid"))
-    return graph.components(p, pairs.select(F.col("id").alias("a"), F.col("rid").alias("b")))
+    return spatial.groups_within(points(s, d), 0.02)
 
 
 _TRIGS = ", ".join(f"({h}, {x}::double)" for h, x in HORIZONS)
