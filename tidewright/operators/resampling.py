@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..sources.shared import staged
 from . import sampling
 
 METRICS = ("recall", "auc", "ap", "lift")
@@ -20,6 +21,7 @@ def drawn(df: DataFrame, key: str, label: str, reps: int, *by: str) -> DataFrame
     x = df.filter(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("int"))
     x = sampling.weighted(x, F.concat_ws("-", F.col(key).cast("string"), F.col("_y").cast("string")), reps)
     x = x.groupBy("rep", *by).agg(F.sum(F.col("_y") * F.col("w")).alias("p"), F.sum((1 - F.col("_y")) * F.col("w")).alias("z"), F.sum(F.when(F.col("rep") == 0, F.col("_y"))).alias("_p"), F.sum(F.when(F.col("rep") == 0, 1 - F.col("_y"))).alias("_z"))
+    x = staged(x, "drawn")  # read for the sizes, for range edges and for totals: the hashes are taken once
     size = x.groupBy("rep").agg(F.sum("p").alias("sp"), F.sum("z").alias("sz"))
     own = x.agg(F.sum("_p").alias("np"), F.sum("_z").alias("nz"))
     x = x.drop("_p", "_z").join(F.broadcast(size.crossJoin(own)), "rep")  # a row a replicate
