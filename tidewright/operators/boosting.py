@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import staged
 
 #: Gradients are counted in these parts of one, and margins staged again after as many trees.
-UNIT, RESTAGE = 1 << 24, 20
+UNIT, RESTAGE = 1 << 24, 5
 MISSING = 255
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import boosting, pooled, resampling, selection
 from ..sources import tables as t
-from ..sources.shared import staged_path
+from ..sources.shared import staged, staged_path
 from .catalog import _SCORED, query, r6, scored
 from .evaluation import _W, REPS
 
@@ -74,6 +74,7 @@ def q_stored_model(s, d):
     lines = t.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"))
     x = t.table(s, d, "orders").join(lines, "o_orderkey", "left").withColumn("label", (F.col("o_totalprice") > 200_000).cast("int"))
     features = ["n", "quantity", "discount"]
+    x = staged(x.select("o_orderkey", "o_orderdate", "label", *features), "orders")  # fitting and scoring read it six times
     live = boosting.fit_before(x, "o_orderdate", "1998-01-01", features, "label", "o_orderkey", growth=boosting.replace(GROWTH, rounds=10, columns=1.0))
     path = staged_path(s, "model")
     live.save(s, path)
