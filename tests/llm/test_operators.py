@@ -2,11 +2,13 @@
 
 import json
 import math
+import pickle
 import random
 import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -507,6 +509,58 @@ def test_lm_bits_are_a_distribution(spark):
     assert p.sum() == pytest.approx(1, rel=1e-4)
 
 
+def test_lm_work_is_once_a_group_of_bits(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    code = lm_score.Code(rng.integers(1, 1000, 300))
+    symbols, key, times = rng.integers(0, 300, 500), rng.integers(0, 40, 500).astype(np.uint32), rng.integers(1, 9, 500)
+    sought, group = [], lm_score._group
+    monkeypatch.setattr(lm_score, "_group", lambda key, *more: sought.append(len(key)) or group(key, *more))
+    counts = np.zeros(2 << 12, np.uint64)
+    lm_score.count_leaves(counts, code, symbols, key, times)
+    assert sum(sought) == (-(-code.size[symbols] // 3)).sum()
+    want = np.zeros_like(counts)
+    for s, k, t in zip(symbols, key, times):
+        for i in range(int(code.start[s]), int(code.start[s] + code.size[s])):
+            first = int((int(k) ^ int(code.key[i])) * 0x846CA68B & 0xFFFFFFFF) >> 20 & ~7
+            want[(first | int(code.told[i]) >> 5) * 2 + (int(code.told[i]) & 1)] += np.uint64(t)
+    assert (lm_score.by_bit(counts) == want).all()
+
+    states = [rng.integers(0, 231, 1 << 12).astype(np.uint8) for _ in range(2)]
+    sought.clear()
+    for out in (False, True):
+        order, start, live = code.sorted(symbols)
+        keys = [key.take(order), key.take(order) * np.uint32(7)]
+        depths = list(lm_score.levels_by_depth(code, start, live, keys, lm_score.levels_of(states, out)))
+        assert sum(n for n, *_ in depths) == code.size[symbols].sum()
+        for n, at, told in depths:
+            for k, state, level in zip(keys, states, told):
+                slot = ((k[:n] ^ code.key[at]) * np.uint32(0x846CA68B) >> np.uint32(20) & np.uint32(0xFFFFFFF8)) | code.told[at] >> 5
+                assert (level == lm_score.LEVEL[512 * out + state[slot].astype(int) * 2 + (code.told[at] & 1)]).all()
+    assert sum(sought) == 4 * (-(-code.size[symbols] // 3)).sum()
+    copy = pickle.loads(pickle.dumps(code))
+    assert len(pickle.dumps(code)) < 8 * len(code.told) + 32 * len(code.size) + 2000
+    assert (copy.cell == code.cell).all() and (copy.place == code.place).all()
+
+
+def test_lm_blocks_hold_every_word_once(monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 12)
+    rows = [(1, "\t A\x0bb  a\x1fc\u00a0\u00c9 \r\n", False), (2, "", True), (None, " ", False), (4, "\u00e9 B a\x00", True), (5, "x " * 30 + "X", False), (6, "a", False)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("doc_id", "text", "held_out"), r)) for r in some], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("held_out", pa.bool_())])) for some in (rows[:1], [], rows[1:5], rows[5:])]
+    batches[2] = pa.concat_batches([batches[0], batches[2]]).slice(1)
+    got, sizes = [], []
+    for block in lm_score._blocks(iter(batches)):
+        (r,) = block.to_pylist()
+        assert lm_score._words(r["words"]).to_pylist() == r["words"].split(b" ") and len(set(r["words"].split(b" "))) == len(r["words"].split(b" "))
+        words, ids = r["words"].split(b" "), lm_score._unpacked(r["ids"])
+        held, size = np.frombuffer(r["held"], bool), np.frombuffer(r["size"], np.int32)
+        assert (np.sort(held) == held).all() and size.sum() == len(ids)
+        sizes.append(len(ids))
+        texts = zip(np.frombuffer(r["doc"], np.int64), np.frombuffer(r["null"], bool), held, np.split(ids, np.cumsum(size)[:-1]), np.frombuffer(r["length"], np.int64))
+        got += [(None if no else int(d), bool(h), [words[i] for i in x], int(n)) for d, no, h, x, n in texts]
+    want = [(d, h, [*space_words(x), b""], sum(len(w) + 1 for w in [*space_words(x), b""])) for d, x, h in rows]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(sizes) == 2
+
+
 def test_tool_calls(spark):
     call = lambda i, args, need=(): {"id": i, "name": "add", "arguments": args, "depends_on": list(need)}
     rows = [
